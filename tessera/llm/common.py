@@ -59,3 +59,18 @@ def release(spark: SparkSession) -> None:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is in the first column of `ids`; null counts as an id."""
+    name = free_name(docs, "kept_id")
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[name]), "left_semi")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save, small_batches
+from tessera.llm.common import keep_ids, save, small_batches
 
 #: Bytes of distinct contents that one table may hold before its records go to spill files.
 TABLE_BYTES = 96 << 20
@@ -217,5 +217,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Rows with the same doc_id and text count as one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col, text_col])
+    return keep_ids(docs, exact_groups(docs, id_col, text_col).where("kept").select("doc_id"), id_col).dropDuplicates([id_col, text_col])

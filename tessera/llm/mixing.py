@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save
+from tessera.llm.common import free_name, save
 
 #: Tokens in a block of the mix.
 BLOCK = 512
@@ -23,6 +23,8 @@ BLOCK = 512
 HEX_DIGITS = 3
 CHUNK = 1 << 14
 GOLDEN = 0.6180339887498949
+#: Equal bins of the line of shares; a share lies in one or more.
+BINS = 4096
 
 
 def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -40,7 +42,8 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     s = s.withColumn("closed", F.coalesce(F.sum("cap").over(closing.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("open_weight", F.sum("weight").over(closing.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.sum("source_size").over(whole) * F.lit(share) - F.col("closed")) / F.col("open_weight"))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
+    s = s.withColumn("turn", F.row_number().over(closing))  # the first source, in closing order, that stays open
+    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("turn", "level"))).over(whole)["level"])
     target = F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
     return s.select("source", "source_size", "place", "weight", target.alias("target"))
 
@@ -72,11 +75,11 @@ def slot_schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     total = need.agg(F.max("all_slots")).first()[0] or 0
     shares = need.select("place", "low", "high", "all_slots")  # one row per source
     points = spark.range(total).select(F.col("id").alias("slot"), (F.floor(F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)) * total)).cast("long").alias("point"))
-    # the source whose share holds the point: the largest low that is not above it
-    edges = shares.agg(F.sort_array(F.collect_list(F.struct("low", "place"))).alias("edges"))
-    drawn = points.crossJoin(F.broadcast(edges)).select(  # edges is a single row
-        "slot", F.expr("edges[size(filter(edges, e -> e.low <= point)) - 1].place").alias("place"), F.floor(F.col("slot") / CHUNK).alias("chunk"),
-    )
+    # shares and points meet by equal bins of the line, so that this is a join on a key
+    width = max(1, -(-total // BINS))
+    lines = shares.where("high > low").withColumn("bin", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
+    drawn = points.withColumn("bin", F.expr(f"point div {width}")).join(lines, "bin").where("point >= low and point < high")
+    drawn = drawn.select("slot", "place", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     tally = drawn.groupBy("place", "chunk").agg(F.count("*").alias("n"))
     tally = tally.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = drawn.join(tally, ["place", "chunk"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1)
@@ -123,6 +126,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     Rows that share a doc_id share the decision: the larger number of draws.
     """
     placed, pieces = mix(docs, id_col=id_col, **options)
-    copies = pieces.where("start = 0").groupBy("row").agg(F.count("*").cast("int").alias("__copies"))
-    copies = placed.join(copies, "row").groupBy(F.col("doc_id").alias("__id")).agg(F.max("__copies").alias("__copies"))
-    return docs.join(copies, docs[id_col].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__copies", "__copy")
+    name, times, turn = (free_name(docs, x) for x in ("mix_id", "mix_times", "mix_turn"))
+    drawn = pieces.where("start = 0").groupBy("row").agg(F.count("*").cast("int").alias(times))
+    drawn = placed.join(drawn, "row").groupBy(F.col("doc_id").alias(name)).agg(F.max(times).alias(times))
+    repeated = docs.join(drawn, docs[id_col].eqNullSafe(drawn[name])).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
+    return repeated.drop(name, times, turn)
