@@ -6,11 +6,13 @@ from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
+from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 QUERIES = {
+    "op1_genetic_packing": lambda spark, sf: pack(documents(spark, sf)).drop("uid"),
     "op3_exact_dedup": lambda spark, sf: exact_groups(documents(spark, sf)),
     "op5_minimax_shards": lambda spark, sf: shard_by_bytes(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
