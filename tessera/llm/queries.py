@@ -8,6 +8,7 @@ from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
 from tessera.llm.packing import pack
 from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.toxicity import toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_exact_dedup": lambda spark, sf: exact_groups(documents(spark, sf)),
     "op5_minimax_shards": lambda spark, sf: shard_by_bytes(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
+    "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
     "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid"),
 }
 
