@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
 from tessera.llm.packing import pack
+from tessera.llm.quality_rules import quality
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.toxicity import toxicity
 
@@ -14,14 +16,30 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 QUERIES = {
     "op1_genetic_packing": lambda spark, sf: pack(documents(spark, sf)).drop("uid"),
+    "op2_quality_rules": lambda spark, sf: quality(documents(spark, sf)),
     "op3_exact_dedup": lambda spark, sf: exact_groups(documents(spark, sf)),
     "op5_minimax_shards": lambda spark, sf: shard_by_bytes(documents(spark, sf)),
+    "op7_license_rules": lambda spark, sf: licenses(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
     "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid"),
 }
 
 ORACLE = {
+    "op2_quality_rules": r"""
+with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, t, ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+g as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+k as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from g),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from k where n > 1) group by doc_id),
+m as (select l.doc_id, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+  cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+  cast(coalesce(r.n, 0) as bigint) as n_repeat_words, cast(len(lines) as bigint) as n_lines, cast(length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as bigint) as n_upper from l left join r using (doc_id)),
+f as (select *, (case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
+  + (case when word_chars < 2 * n_words or word_chars > 15 * n_words then 4 else 0 end) + (case when 4 * n_symbols > n_words then 8 else 0 end)
+  + (case when 10 * n_dup_lines > 3 * n_lines then 16 else 0 end) + (case when 2 * n_upper > word_chars then 32 else 0 end)
+  + (case when n_words > 100000 then 64 else 0 end) as b from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b & 3 <> 0 as base_failed, b & 63 = 0 as kept, n_lines, n_upper, cast(b as bigint) as failures from f""",
     "op3_exact_dedup": f"""
 with n as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(t) as text_sha256
