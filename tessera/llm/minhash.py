@@ -94,15 +94,16 @@ def _as_set(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, n_shingles, whole (128 bits of the set; null if it is empty), bands."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("whole", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """uid, doc_id, text_hash, n_shingles, whole (128 bits of the set; null if it is empty), bands."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("whole", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
         sets = shingle_sets(b.column(1), width)
         keys = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_as_set(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_as_set(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema, "uid long, doc_id long, n_shingles long, whole binary, bands array<long>", 1)
+    columns = docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col))
+    return arrow_map(columns, run, schema, "uid long, doc_id long, text_hash long, n_shingles long, whole binary, bands array<long>", 1)
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
@@ -186,16 +187,18 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, taking: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(rep, shingles) of the classes that take part in a bucket: their texts are read and cut again."""
-    schema = pa.schema([("uid", pa.int64()), ("text", pa.large_string())])
-    numbered = arrow_map(docs.select(text_col), lambda b, row: pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0).cast(pa.large_string())], schema=schema), schema, "uid long, text string")
-    texts = numbered.join(taking.select(F.col("rep").alias("uid")), "uid")
-    made = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(rep, shingles) of the classes that take part in a bucket. Their texts are found by hash, read and cut again."""
+    want = rows.join(taking.withColumnRenamed("rep", "uid"), "uid").select(F.col("uid").alias("rep"), "text_hash", "whole")
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(want, "text_hash")
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in shingle_sets(b.column(1), width)], pa.list_(pa.int64()))], schema=made)
+        sets = shingle_sets(b.column(1), width)
+        mine = [_as_set(s) == w for s, w in zip(sets, b.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema).filter(pa.array(mine))
 
-    return save(arrow_map(texts, run, made, "rep long, shingles array<long>", 1), "sets")
+    found = arrow_map(texts.select("rep", "text", "whole"), run, schema, "rep long, shingles array<long>", 1)
+    return save(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")  # copies have one set
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

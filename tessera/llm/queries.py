@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.kneser_ney import classify
 from tessera.llm.licenses import licenses
+from tessera.llm.log_bilinear import score
 from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
 from tessera.llm.packing import pack
@@ -18,7 +20,9 @@ QUERIES = {
     "op1_genetic_packing": lambda spark, sf: pack(documents(spark, sf)).drop("uid"),
     "op2_quality_rules": lambda spark, sf: quality(documents(spark, sf)),
     "op3_exact_dedup": lambda spark, sf: exact_groups(documents(spark, sf)),
+    "op4_kneser_ney": lambda spark, sf: classify(documents(spark, sf), documents(spark, sf, "labels")),
     "op5_minimax_shards": lambda spark, sf: shard_by_bytes(documents(spark, sf)),
+    "op6_log_bilinear": lambda spark, sf: score(documents(spark, sf)),
     "op7_license_rules": lambda spark, sf: licenses(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
@@ -28,7 +32,7 @@ QUERIES = {
 ORACLE = {
     "op2_quality_rules": r"""
 with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
-l as (select doc_id, t, ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+l as (select doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
 g as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
 k as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from g),
 r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from k where n > 1) group by doc_id),

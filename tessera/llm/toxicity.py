@@ -205,7 +205,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(column: pa.Array, toxic: np.ndarray) -> Model:
     n_bad, n = int(toxic.sum()), len(toxic)
-    model = Model(prior=(n_bad + 0.5) / (n + 1))
+    model = Model(prior=(n_bad + 0.5) / (n + 2))
     if n_bad == 0 or n_bad == n:
         return model
     flat, counts = split_words(column)

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __id long, size long"
 
 
