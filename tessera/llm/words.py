@@ -11,15 +11,18 @@ import xxhash
 
 
 def texts(column: pa.Array) -> pa.Array:
-    """Null becomes empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Null becomes empty. Slices are copied: string functions read others' bytes where a slice doesn't start at 0."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if len(column) and (column.offset or np.frombuffer(column.buffers()[1], np.int64, 1)[0]):
+        column = column.take(pa.array(np.arange(len(column))))
+    return column
 
 
 def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z in lower case, one after another; and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts(column)))
     flat = lists.flatten()
-    owner = pc.list_parent_indices(lists)
+    owner = pa.array(np.repeat(np.arange(len(column)), np.asarray(pc.list_value_length(lists))))  # right for slices too
     full = pc.not_equal(pc.binary_length(flat), 0)
     if not pc.all(full).as_py():  # splitting leaves empty strings at the ends
         flat, owner = flat.filter(full), owner.filter(full)
