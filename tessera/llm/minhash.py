@@ -6,9 +6,8 @@ takes the value of a full bin that a fixed sequence of random draws finds. BANDS
 make bucket keys. A bucket links its members to its smallest one: a star, so that a bucket of n
 members has n - 1 candidate edges. Edges are confirmed on the full shingle sets.
 
-A star alone can lose a link between two members that both differ from its centre. So, for buckets
-whose members still lie in several components, later rounds take further centres (1, 2, 4, ... a
-round), until every such bucket has had each pair of members from different components compared.
+A star alone can lose a link between two members that both differ from its centre. So the members
+of buckets that still lie in several components are joined once more, exactly, by prefix filters.
 
 Of a pair at similarity 0.8 the bands miss 6e-6.
 
@@ -22,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep_ids, save, small_batches
@@ -31,6 +30,8 @@ from tessera.llm.words import arrow_map, mix, split_words, word_hashes, word_ids
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BANDS, ROWS = 42, 6
+#: Ratio of the sizes in one class of the prefix filter.
+SIZE_STEP = "1.06D"
 #: Draws of the densification: DRAWS[t, b] is the bin that empty bin b tries at its t-th draw.
 DRAWS = np.random.default_rng(20).integers(0, BINS, (4096, BINS), dtype=np.int64)
 
@@ -138,6 +139,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """From sets(rep, root, shingles), candidates (a, b) of different roots, every similar pair among them.
+
+    Exact: with all shingles in one order, rare ones first, two similar sets share one in their first
+    few. How many depends on both sizes, so sizes fall into classes and a set has a prefix for each
+    class it can be similar to. Where a shingle's sets have a root in common, only the others are paired.
+    """
+    need = lambda n, m: f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}) as int)"
+    cls = lambda n: f"cast(floor(ln({n}) / ln({SIZE_STEP})) as int)"
+    each = sets.select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rarity = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    ordered = each.join(rarity, "shingle").groupBy("rep", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    ordered = ordered.withColumn("cls", F.expr(cls("n")))
+    ordered = ordered.withColumn("other", F.explode(F.expr(f"sequence({cls(f'ceil({percent} * n / 100)')}, {cls(f'floor(n * 100 / {percent})')})")))
+    ordered = ordered.withColumn("least", F.expr(f"greatest(cast(floor(pow({SIZE_STEP}, other)) as int) - 1, cast(ceil({percent} * n / 100) as int))"))
+    prefix = F.slice("order", F.lit(1), F.expr(f"greatest(n - {need('n', 'least')} + 1, 0)"))
+    heads = ordered.select("rep", "root", "n", "cls", "other", F.posexplode(prefix).alias("place", "cell")).where("cell.df > 1")
+    heads = heads.select("rep", "root", "n", "cls", "other", (F.col("place") + 1).alias("place"), F.col("cell.shingle").alias("shingle"), F.least("cls", "other").alias("low"), F.greatest("cls", "other").alias("high"))
+    key = ["shingle", "low", "high"]
+    tally = heads.groupBy(*key, "root").agg(F.count("*").alias("n_root"))
+    mains = tally.groupBy(*key).agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    open_ = heads.join(mains, key)
+    left = open_.where("root <> main").select(*key, *[F.col(c).alias(f"{c}_a") for c in ("rep", "root", "n", "cls", "other", "place")])
+    right = open_.select(*key, "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "cls", "other", "place")])
+    pairs = left.join(right, key).where(
+        "root_a <> root_b and cls_a = other_b and other_a = cls_b and (root_b = main or rep_a < rep_b)"
+        f" and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and 1 + least(n_a - place_a, n_b - place_b) >= {need('n_a', 'n_b')}"
+    )
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: uid, doc_id, n_shingles, component_id, kept (doc_id is the component's)."""
     spark = docs.sparkSession
@@ -156,28 +188,13 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
     nodes = save(taking.select(F.col("rep").alias("node")), "nodes")
     roots = save(components(nodes, links), "roots")
 
-    # a bucket has all its pairs compared when each member but the last has been its centre
-    size, done = 1, 1
-    while True:
-        placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep")
-        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
-        left = placed.where(F.col("members") > done + 1).join(open_, ["band", "key"])
-        # the next `size` members of a bucket in the order of their number, behind the `done` that have been centres
-        turn = F.row_number().over(Window.partitionBy("band", "key").orderBy("rep"))
-        centres = left.withColumn("turn", turn).where(F.col("turn") <= done + size).where(F.col("turn") > done).select("band", "key", F.col("rep").alias("next"))
-        rooted = roots.select(F.col("node").alias("next"), F.col("root").alias("next_root"))
-        more = left.select("band", "key", "rep", "root").join(centres, ["band", "key"]).join(rooted, "next").where("rep > next and root <> next_root")
-        fresh = more.select(F.col("next").alias("a"), F.col("rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        fresh = save(fresh, "pairs")
-        if fresh.isEmpty() and left.isEmpty():
-            break
-        if not fresh.isEmpty():
-            pairs = pairs.union(fresh)
-            found = save(confirmed(fresh, sets, percent), "links")
-            if not found.isEmpty():
-                links = links.union(found)
-                roots = save(components(nodes, links), "roots")
-        done, size = done + size, size * 2
+    placed = members.where("members > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep")
+    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
+    unsettled = save(placed.join(open_, ["band", "key"]).select("rep", "root").distinct(), "unsettled")
+    fresh = save(prefix_pairs(unsettled.join(sets, "rep"), percent), "pairs")
+    found = save(confirmed(fresh, sets, percent), "links")
+    if not found.isEmpty():
+        roots = save(components(nodes, links.union(found)), "roots")
 
     of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("root"))
     rooted = rows.join(of_class, "whole", "left").select("uid", "doc_id", "n_shingles", F.coalesce("root", "uid").alias("root"))
