@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from tessera.registry import ORACLE, QUERIES
+
+MODULES = ("tessera.operators.forum",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(name)
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return ORACLE

@@ -1 +1 @@
-
+"""Relational operators of the community, its games and its chats."""
