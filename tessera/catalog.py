@@ -6,7 +6,7 @@ import importlib
 
 from tessera.registry import ORACLE, QUERIES
 
-MODULES = ("tessera.operators.forum",)
+MODULES = tuple(f"tessera.operators.{m}" for m in ("forum", "people", "play", "presence", "retrieval"))
 
 
 def _load() -> None:
