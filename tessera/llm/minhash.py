@@ -155,16 +155,18 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ordered = ordered.withColumn("other", F.explode(F.expr(f"sequence({cls(f'ceil({percent} * n / 100)')}, {cls(f'floor(n * 100 / {percent})')})")))
     ordered = ordered.withColumn("least", F.expr(f"greatest(cast(floor(pow({SIZE_STEP}, other)) as int) - 1, cast(ceil({percent} * n / 100) as int))"))
     prefix = F.slice("order", F.lit(1), F.expr(f"greatest(n - {need('n', 'least')} + 1, 0)"))
-    heads = ordered.select("rep", "root", "n", "cls", "other", F.posexplode(prefix).alias("place", "cell")).where("cell.df > 1")
-    heads = heads.select("rep", "root", "n", "cls", "other", (F.col("place") + 1).alias("place"), F.col("cell.shingle").alias("shingle"), F.least("cls", "other").alias("low"), F.greatest("cls", "other").alias("high"))
+    # the shared shingle before: a pair that has it in common too is found there, so each pair comes from its first
+    cells = F.expr("transform(head, (c, i) -> struct(c.df as df, c.shingle as shingle, case when i > 0 and head[greatest(i - 1, 0)].df > 1 then head[greatest(i - 1, 0)].shingle end as before))")
+    heads = ordered.withColumn("head", prefix).select("rep", "root", "n", "cls", "other", F.posexplode(cells).alias("place", "cell")).where("cell.df > 1")
+    heads = heads.select("rep", "root", "n", "cls", "other", (F.col("place") + 1).alias("place"), F.col("cell.before").alias("before"), F.col("cell.shingle").alias("shingle"), F.least("cls", "other").alias("low"), F.greatest("cls", "other").alias("high"))
     key = ["shingle", "low", "high"]
     tally = heads.groupBy(*key, "root").agg(F.count("*").alias("n_root"))
     mains = tally.groupBy(*key).agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     open_ = heads.join(mains, key)
-    left = open_.where("root <> main").select(*key, *[F.col(c).alias(f"{c}_a") for c in ("rep", "root", "n", "cls", "other", "place")])
-    right = open_.select(*key, "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "cls", "other", "place")])
+    left = open_.where("root <> main").select(*key, *[F.col(c).alias(f"{c}_a") for c in ("rep", "root", "n", "cls", "other", "place", "before")])
+    right = open_.select(*key, "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "cls", "other", "place", "before")])
     pairs = left.join(right, key).where(
-        "root_a <> root_b and cls_a = other_b and other_a = cls_b and (root_b = main or rep_a < rep_b)"
+        "root_a <> root_b and not coalesce(before_a = before_b, false) and cls_a = other_b and other_a = cls_b and (root_b = main or rep_a < rep_b)"
         f" and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and 1 + least(n_a - place_a, n_b - place_b) >= {need('n_a', 'n_b')}"
     )
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
