@@ -72,9 +72,25 @@ def page_count(total: Column, size: int) -> Column:
 
 #: The platform's result codes.
 CODES = {
-    -1: "ROOM_NOT_FOUND", -2: "ROOM_NOT_WAITING", -3: "ALREADY_SEATED", -4: "SEAT_TAKEN", -5: "SPECTATORS_LOCKED",
-    -6: "INVALID_ROLE", -7: "ROOM_PRIVATE", -8: "USER_OFFLINE", -9: "USER_IN_ROOM", -18: "GAME_IN_PROGRESS", -19: "SAME_SEAT",
-}
+    -1: "ROOM_NOT_FOUND",
+    -2: "ROOM_NOT_WAITING",
+    -3: "ALREADY_SEATED",
+    -4: "SEAT_TAKEN",
+    -5: "SPECTATORS_LOCKED",
+    -6: "INVALID_ROLE",
+    -7: "ROOM_IS_PRIVATE",
+    -8: "USER_OFFLINE",
+    -9: "ALREADY_IN_ROOM",
+    -10: "NOT_IN_ROOM",
+    -12: "NOT_A_PLAYER",
+    -13: "ROOM_NOT_COUNTDOWN",
+    -14: "START_TIME_NOT_REACHED",
+    -15: "NOT_YOUR_TURN",
+    -16: "GAME_NOT_FOUND",
+    -17: "TIME_OUT",
+    -18: "ROOM_IN_PROGRESS",
+    -19: "SEAT_SWITCH_NOT_ALLOWED",
+}
 
 
 def code_name(code: Column) -> Column:

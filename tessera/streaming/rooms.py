@@ -23,6 +23,7 @@ COUNTDOWN_MS, DRAW_OFFER_MS = 3000, 30_000
 LOG = "room_id long, event_id long, at_ms long, user_id long, action string, role string, online boolean, busy boolean, time_minutes int, increment_seconds int, is_private boolean, spectators_locked boolean"
 OUT = "room_id long, event_id long, at_ms long, user_id long, action string, code int, note string, status string, host_id long, white_id long, black_id long, turn string, white_ms long, black_ms long, ply long, result string, reason string, grace_ms long"
 COLUMNS = [c.split()[0] for c in LOG.split(", ")]
+RESULT = Row(*(c.split()[0] for c in OUT.split(", ")))
 OTHER = {"white": "black", "black": "white"}
 
 
@@ -285,7 +286,7 @@ def fold(log: DataFrame) -> DataFrame:
                     at, room, spectators = e.room_id, None, {}
                 room, rows = apply(room, spectators, e)
                 out += rows
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            yield pd.DataFrame(out, columns=list(RESULT))
 
     return log.select(COLUMNS).repartition("room_id").sortWithinPartitions("room_id", "at_ms", "event_id").mapInPandas(run, OUT)
 
@@ -346,12 +347,12 @@ class RoomProcessor(StatefulProcessor):
         room = self._read()
         for e in sorted(rows, key=lambda e: (e.at_ms, e.event_id)):
             room, out = apply(room, self.spectators, e)
-            yield from (Row(*r) for r in out)
+            yield from (RESULT(*r) for r in out)
         self._write(room)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         room = self._read()
-        yield from (Row(*r) for r in list(due(room, key[0], expiredTimerInfo.getExpiryTimeInMs())))
+        yield from (RESULT(*r) for r in list(due(room, key[0], expiredTimerInfo.getExpiryTimeInMs())))
         self._write(room)
 
     def close(self) -> None:
@@ -359,6 +360,6 @@ class RoomProcessor(StatefulProcessor):
 
 
 def room_stream(log: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Live results of a streamed log. Needs the RocksDB state store."""
+    """Live results of a streamed log; rows `late` or more behind are dropped. Needs the RocksDB state store."""
     timed = log.select(COLUMNS).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
     return timed.groupBy("room_id").transformWithState(RoomProcessor(), OUT, "Append", "EventTime")

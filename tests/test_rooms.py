@@ -77,11 +77,11 @@ def test_draws_and_seats(spark):
 
 
 def random_log(seed: int) -> list[tuple]:
-    """A row a second for each of five rooms; nobody waits long enough to lose on time."""
+    """A row a second for each of five rooms, from 1970-01-02 on: a stream drops rows behind its first watermark, the epoch."""
     r, rows = random.Random(seed), []
     for n in range(1500):
         action = r.choice(ACTIONS)
-        rows.append(log_row(n % 5, n, (n // 5) * 1000 + n % 5, r.randrange(3), action, r.choice(["white", "black", "spectator"]), time_minutes=1, increment_seconds=1))
+        rows.append(log_row(n % 5, n, 86_400_000 + (n // 5) * 1000 + n % 5, r.randrange(3), action, r.choice(["white", "black", "spectator"]), time_minutes=1, increment_seconds=1))
     return rows
 
 
@@ -89,7 +89,7 @@ def test_stream_is_fold(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     log = spark.createDataFrame(random_log(7), LOG)
     for k in range(3):  # three micro-batches
-        log.where(f"at_ms >= {k * 100_000} and at_ms < {(k + 1) * 100_000}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        log.where(f"at_ms - 86400000 >= {k * 100_000} and at_ms - 86400000 < {(k + 1) * 100_000}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = room_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "1 hour")
     q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     assert q.awaitTermination(200)
