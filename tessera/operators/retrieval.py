@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessera.functions.text import cosine
+from tessera.functions.text import cosine, dot
 from tessera.registry import plain, query
 
 #: Queries that a search may hold in memory on every task.
@@ -22,6 +25,28 @@ def top_k(chunks: DataFrame, question: list[float], k: int = 4) -> DataFrame:
     return chunks.withColumn("score", cosine(F.col("embedding"), asked)).orderBy(F.desc("score"), "id").limit(k)
 
 
+def top_k_l2(chunks: DataFrame, question: list[float], k: int = 4) -> DataFrame:
+    """As top_k, by Euclidean distance."""
+    asked = F.array(*[F.lit(float(x)) for x in question])
+    apart = F.zip_with("embedding", asked, lambda x, y: x.cast("double") - y)
+    return chunks.withColumn("distance", F.sqrt(dot(apart, apart))).orderBy("distance", "id").limit(k)
+
+
+def embed(text: Column, size: int = 64) -> Column:
+    """A vector of length 1 from hashed lower-case words, without a trained model; zeros without words."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray:
+            words = (text or "").lower().split()
+            v = np.bincount(np.fromiter((zlib.crc32(w.encode()) % size for w in words), np.int64, len(words)), minlength=size).astype(np.float32)
+            return v / max(1.0, float(np.linalg.norm(v)))
+
+        return texts.map(one)
+
+    return run(text)
+
+
 def top_k_batch(chunks: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
     """For questions(question_id, vector), the k nearest chunks of each. At most MOST_QUERIES questions, which go to every task in
     one row; a task keeps the best k of its rows for each before anything is shuffled."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +21,3 @@ def session_stream(events: DataFrame, gap: str = "30 seconds", late: str = "1 ho
 def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Drops redelivered events."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-
-
-def with_dead_letters(write: Callable[[DataFrame], None], dead: str, attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: tries `write` some times, then puts the batch under `dead` with its number; a rerun replaces it."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        for attempt in range(attempts):
-            try:
-                write(batch)
-                return
-            except Exception as e:  # noqa: BLE001  any failure of the consumer counts
-                if attempt == attempts - 1:
-                    batch.withColumn("error", F.lit(str(e)[:500])).write.mode("overwrite").parquet(f"{dead}/batch={number}")
-
-    return run

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import uuid7
 from tessera.operators.people import patch
 from tessera.operators.presence import sessions
-from tessera.operators.retrieval import image_ids, sections, split_text
+from tessera.operators.retrieval import embed, image_ids, sections, split_text
 from tessera.sources.files import append, is_seeded, markdown, truncate
-from tessera.streaming.presence import events_stream, session_stream, with_dead_letters
+from tessera.streaming.presence import events_stream, session_stream
+from tessera.streaming.queues import routed, with_dead_letters
 
 
 def test_sessions_of_stream_and_batch(spark, sf, tmp_path):
@@ -25,10 +28,25 @@ def test_dead_letters(spark, tmp_path):
     def fail(_):
         raise ValueError("no")
 
-    with_dead_letters(fail, f"{tmp_path}/dead")(spark.range(3), 7)
+    with_dead_letters(fail, f"{tmp_path}/dead", pause=0.01)(spark.range(3), 7)
     assert spark.read.parquet(f"{tmp_path}/dead").where("batch = 7 and error = 'no'").count() == 3
 
 
+def test_routed(spark):
+    keys = spark.createDataFrame([("post",), ("post.a",), ("post.a.b",), ("postal.a",), ("x.post",)], "routing_key string")
+    found = {b: [r[0] for r in routed(keys, b).orderBy("routing_key").collect()] for b in ("post.#", "post.*", "#", "*.post")}
+    assert found == {"post.#": ["post", "post.a", "post.a.b"], "post.*": ["post.a"], "#": ["post", "post.a", "post.a.b", "postal.a", "x.post"], "*.post": ["x.post"]}
+
+
+def test_embed(spark):
+    rows = spark.createDataFrame([("",), (None,), ("One two ONE",)], "t string").select(embed(F.col("t"), 16)).collect()
+    want = [0.0] * 16
+    for w in ("one", "two", "one"):
+        want[zlib.crc32(w.encode()) % 16] += 1
+    norm = sum(x * x for x in want) ** 0.5
+    assert [rows[0][0], rows[1][0]] == [[0.0] * 16] * 2 and rows[2][0] == pytest.approx([x / norm for x in want])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs/sub").mkdir(parents=True)
     (tmp_path / "docs/sub/a.md").write_text("# A\ntext1\n## B\ntext2\n### C\ntext3\n## D\ntext4")
