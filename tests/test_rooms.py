@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import Row
 
 from tessera.streaming.rooms import COLUMNS, LOG, fold, room_stream
@@ -86,6 +87,7 @@ def random_log(seed: int) -> list[tuple]:
 
 
 def test_stream_is_fold(spark, tmp_path):
+    pytest.importorskip("google.protobuf")  # the state server of Python processors speaks it
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     log = spark.createDataFrame(random_log(7), LOG)
     for k in range(3):  # three micro-batches
