@@ -1,15 +1,18 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
-Counting covers the whole training corpus: token counts are summed in Spark; the VOCABULARY most
-frequent words get vectors, all others share one class. The model predicts a word from the CONTEXT
-classes before it: its vectors, turned by a matrix for each place, are added and multiplied with the
-word's vector. Training runs in rounds. In a round every task starts from the same parameters, goes
-through its part of that round's documents with noise-contrastive estimation in numpy, and the tasks'
-parameters are averaged by tokens, summed in Spark; the rounds together see each training token once.
-
-Matrix products over the vocabulary give the exact normalisers, so that token probabilities sum to
-one. A word of the shared class has the class's probability times its smoothed share of the class.
-Frequent words' counts travel with the tasks (at most FREQUENT of them); those of all others are
+Counting covers the whole training corpus: token counts are summed in Spark. Every word counted at
+least LEAST times gets a vector, and the VOCABULARY most frequent ones in any case, so the model grows
+with the corpus; all others share one class. The model predicts a word from the CONTEXT classes before
+it: their vectors, turned by a matrix for each place, are added. Words lie in bins of neighbours by
+frequency; a word has the probability of its bin times its own among the bin's words, both softmaxes
+of that vector. Training runs in rounds. In a round every task starts from the same parameters, goes
+through its part of that round's documents with noise-contrastive estimation of words and bins in
+numpy, and each row of the parameters is averaged by how often the tasks used it, in Spark; the rounds
+together see each training token once.
+
+Bins and bins' words are few, so that both normalisers are exact and token probabilities sum to one.
+A word of the shared class has the class's probability times its smoothed share of the class. The
+vocabulary and the parameters (100 bytes a word) travel with the tasks; all other words' counts are
 joined by word.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id counts as held out; repeated
@@ -29,7 +32,9 @@ from tessera.llm.common import save, small_batches
 from tessera.llm.words import arrow_map, split_words
 
 VOCABULARY = 1024
-FREQUENT = 1 << 17
+LEAST = 5
+#: A bin has BIN_LEAST words, or its first word's number divided by BIN_GROWTH.
+BIN_LEAST, BIN_GROWTH = 64, 128
 DIMENSION = 24
 CONTEXT = 2
 NOISE = 64
@@ -39,6 +44,8 @@ RATE = 0.03
 OTHER, END = 0, 1
 #: Tokens whose counts a task adds up before it hands them on.
 HELD_TOKENS = 6_000_000
+#: Tokens that a task shuffles, rows of parameters in one message, contexts scored at once.
+HELD_TRAINING, BLOCK, SLICE = 1 << 20, 1 << 13, 1 << 12
 SMOOTH = 0.1
 
 
@@ -71,15 +78,15 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words, most frequent first, and their counts."""
+    """The words with vectors, most frequent first, and their counts."""
 
     def __init__(self, words: pa.Array, counts: np.ndarray) -> None:
         self.words, self.counts = words.cast(pa.large_string()), counts
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known and logs of the frequent words, classes (16-bit, with the end), rare words and how often each."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_all", pa.float64()), ("log_other", pa.float64()), ("n_other", pa.int64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+    """uid, doc_id, held_out, n_tokens, n_known and logs of the vocabulary, classes (32-bit, with the end), rare words and how often each."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_all", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.counts))
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
@@ -93,12 +100,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str)
         known = number >= 0
         log_c = np.log10(counts + SMOOTH)
         logs = np.where(known, log_c[np.maximum(number, 0)] if len(counts) else 0.0, 0.0)
-        cls = np.where(known & (number < VOCABULARY - 2), number + 2, OTHER).astype("<i2")
-        other = cls == OTHER
+        cls = np.where(known, number + 2, OTHER).astype("<i4")
         owner = np.repeat(np.arange(len(b)), n)
-        sums = [np.bincount(owner, w, len(b)) for w in (known, logs, logs * other, other)]
+        sums = [np.bincount(owner, w, len(b)) for w in (known, logs)]
         starts = np.concatenate([[0], np.cumsum(n)])
-        blobs = [np.append(cls[a:z], np.int16(END)).astype("<i2").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
+        blobs = [np.append(cls[a:z], np.int32(END)).astype("<i4").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
         # rare words of a document, each once
         at = np.flatnonzero(~known)
         pair, times = np.unique(owner[at] * np.int64(max(1, len(d.dictionary))) + ids[at], return_counts=True)
@@ -106,32 +112,41 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str)
         names = d.dictionary.take(pa.array(pair % max(1, len(d.dictionary)))).cast(pa.string())
         rare = pa.ListArray.from_arrays(pa.array(place, pa.int32()), names)
         often = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(times, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), pa.array(n + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(sums[3].astype(np.int64)), pa.array(blobs, pa.binary()), rare, often], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), pa.array(n + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(blobs, pa.binary()), rare, often], schema=schema)
 
-    ddl = "uid long, doc_id long, n_tokens long, n_known long, log_all double, log_other double, n_other long, classes binary, rare array<string>, times array<int>"
+    ddl = "uid long, doc_id long, n_tokens long, n_known long, log_all double, classes binary, rare array<string>, times array<int>"
     coded = arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema, ddl, 1)
     return coded.withColumn("held_out", held_out("doc_id")).withColumn("round", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(ROUNDS)))
 
 
-class Parameters:
-    """Word vectors, a matrix for each place of the context, biases; and what the step sizes need."""
-
-    def __init__(self, unigram: np.ndarray) -> None:
-        rng = np.random.default_rng(1)
-        self.vectors = rng.normal(0, 0.1, (VOCABULARY, DIMENSION))
-        self.places = np.stack([np.eye(DIMENSION) * 0.5 for _ in range(CONTEXT)])
-        self.bias = np.log(unigram)
+def bin_edges(size: int) -> np.ndarray:
+    """Where the bins of `size` classes start, and `size` at the end."""
+    edges = [0]
+    while edges[-1] < size:
+        edges.append(min(size, edges[-1] + max(BIN_LEAST, edges[-1] // BIN_GROWTH)))
+    return np.array(edges)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.vectors.ravel(), self.places.ravel(), self.bias])
 
-    def load(self, x: np.ndarray) -> Parameters:
-        n, m = self.vectors.size, self.places.size
-        self.vectors, self.places, self.bias = x[:n].reshape(self.vectors.shape), x[n : n + m].reshape(self.places.shape), x[n + m :]
-        return self
+class Parameters:
+    """One row for each word, each bin and each line of the context's matrices; the last column has the biases."""
+
+    def __init__(self, unigram: np.ndarray, rows: np.ndarray | None = None) -> None:
+        self.edges = bin_edges(len(unigram))
+        n, c = len(unigram), len(self.edges) - 1
+        self.bin_of = np.repeat(np.arange(c, dtype=np.int32), np.diff(self.edges))
+        self.share = np.concatenate([unigram, np.add.reduceat(unigram, self.edges[:-1])])
+        if rows is None:
+            rows = np.zeros((n + c + CONTEXT * DIMENSION, DIMENSION + 1), np.float32)
+            rows[: n + c, :DIMENSION] = np.random.default_rng(1).normal(0, 0.1, (n + c, DIMENSION))
+            rows[: n + c, DIMENSION] = np.log(self.share)
+            rows[n + c :, :DIMENSION] = np.tile(np.eye(DIMENSION) * 0.5, (CONTEXT, 1))
+        self.rows = rows
+        self.vectors, self.bias = rows[:n, :DIMENSION], rows[:n, DIMENSION]
+        self.bin_vectors, self.bin_bias = rows[n : n + c, :DIMENSION], rows[n : n + c, DIMENSION]
+        self.places = rows[n + c :, :DIMENSION].reshape(CONTEXT, DIMENSION, DIMENSION)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """log10 parts: (near context, word), (far context, word), word, and the normaliser of (far, near)."""
+        """For few words, with all of them in one bin. log10 parts: (near context, word), (far context, word), word, and the normaliser of (far, near)."""
         near = (self.vectors @ self.places[0]) @ self.vectors.T
         far = (self.vectors @ self.places[1]) @ self.vectors.T
         a, b = near + self.bias, far
@@ -140,11 +155,39 @@ class Parameters:
         scale = np.log10(np.e)
         return tuple((x * scale).astype(np.float32) for x in (near, far, self.bias, z))
 
-
-def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def logs(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability after its context: its bin's, and its own in the bin."""
+        n = len(self.vectors)
+        pairs, at = np.unique(far * n + near, return_inverse=True)
+        q = np.empty((len(pairs), DIMENSION), np.float32)
+        bins_z = np.empty(len(pairs))
+        for a in range(0, len(pairs), SLICE):
+            part = pairs[a : a + SLICE]
+            q[a : a + SLICE] = self.vectors[part % n] @ self.places[0] + self.vectors[part // n] @ self.places[1]
+            bins_z[a : a + SLICE] = normaliser(q[a : a + SLICE] @ self.bin_vectors.T + self.bin_bias)
+        bins = self.bin_of[w]
+        out = (q[at] * (self.bin_vectors[bins] + self.vectors[w])).sum(1) + self.bin_bias[bins] + self.bias[w] - bins_z[at]
+        order = np.argsort(bins, kind="stable")
+        stops = np.searchsorted(bins[order], np.arange(len(self.edges)))
+        for k in np.flatnonzero(np.diff(stops)):
+            words = slice(self.edges[k], self.edges[k + 1])
+            for a in range(stops[k], stops[k + 1], SLICE):
+                some = order[a : min(a + SLICE, stops[k + 1])]
+                out[some] -= normaliser(q[at[some]] @ self.vectors[words].T + self.bias[words])
+        return out * np.log10(np.e)
+
+
+def normaliser(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp in each line; overwrites x."""
+    top = x.max(1, keepdims=True)
+    x -= top
+    return np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
+
+
+def contexts(blobs: list[bytes], kind: str = "<i2") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, the one before, the one before that, and words per text. Before a text stand ends."""
-    w = np.frombuffer(b"".join(blobs), "<i2").astype(np.int64)
-    n = np.array([len(x) // 2 for x in blobs], np.int64)
+    w = np.frombuffer(b"".join(blobs), kind).astype(np.int64)
+    n = np.array([len(x) // np.dtype(kind).itemsize for x in blobs], np.int64)
     starts = np.cumsum(n) - n
     near, far = np.empty_like(w), np.empty_like(w)
     near[1:], far[2:] = w[:-1], w[:-2]
@@ -154,70 +197,102 @@ def contexts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return w, near, far, n
 
 
-def nce(p: Parameters, squares: np.ndarray, w: np.ndarray, near: np.ndarray, far: np.ndarray, times: np.ndarray, unigram: np.ndarray, rng: np.random.Generator) -> None:
-    """One step on distinct (far, near, word) triples that occur `times`; NOISE words are drawn for all of them."""
-    noise = rng.choice(VOCABULARY, NOISE, p=unigram)
-    log_noise = np.log(NOISE * unigram)
+def nce(p: Parameters, squares: np.ndarray, used: np.ndarray, w: np.ndarray, near: np.ndarray, far: np.ndarray, drawn: list[np.ndarray], log_noise: np.ndarray) -> None:
+    """One step; the `drawn` noise words and noise bins serve all tokens. Only the rows that take part change."""
+    n, c = len(p.vectors), len(p.bin_vectors)
+    outputs = p.rows[: n + c]
     va, vb = p.vectors[near], p.vectors[far]
     q = va @ p.places[0] + vb @ p.places[1]
-    vw, vn = p.vectors[w], p.vectors[noise]
-    weight = times / times.sum()
-    up = weight / (1 + np.exp(np.clip((q * vw).sum(1) + p.bias[w] - log_noise[w], -30, 30)))
-    down = -weight[:, None] / (1 + np.exp(-np.clip(q @ vn.T + p.bias[noise] - log_noise[noise], -30, 30)))
-    dq = up[:, None] * vw + down @ vn
-    ga, gb = dq @ p.places[0].T, dq @ p.places[1].T
-    gw = up[:, None] * q
-    grad = np.zeros_like(p.vectors)
-    index = np.concatenate([w, near, far])
-    values = np.concatenate([gw, ga, gb])
-    for d in range(DIMENSION):
-        grad[:, d] = np.bincount(index, values[:, d], VOCABULARY)
-    np.add.at(grad, noise, down.T @ q)
-    bias = np.bincount(w, up, VOCABULARY)
-    np.add.at(bias, noise, down.sum(0))
-    g = np.concatenate([grad.ravel(), (va.T @ dq).ravel(), (vb.T @ dq).ravel(), bias])
-    squares += g * g
-    p.load(p.flat() + RATE * g / np.sqrt(squares + 1e-12))
-
-
-def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number: int) -> np.ndarray | None:
-    """The parameters that the tasks reach from `start` on the round's documents, averaged by tokens."""
+    dq = np.zeros_like(q)
+    rows, values = [], []
+
+    def change(at: np.ndarray, vectors: np.ndarray, bias: np.ndarray | float) -> None:
+        v = np.empty((len(at), DIMENSION + 1), np.float32)
+        v[:, :DIMENSION], v[:, DIMENSION] = vectors, bias
+        rows.append(at)
+        values.append(v)
+
+    for target, noise in zip((w, n + p.bin_of[w]), drawn, strict=True):
+        right, wrong = outputs[target], outputs[noise]
+        vw, vn = right[:, :DIMENSION], wrong[:, :DIMENSION]
+        up = 1 / (1 + np.exp(np.clip((q * vw).sum(1) + right[:, DIMENSION] - log_noise[target], -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(q @ vn.T + (wrong[:, DIMENSION] - log_noise[noise]), -30, 30)))
+        dq += up[:, None] * vw + down @ vn
+        change(target, up[:, None] * q, up)
+        change(noise, down.T @ q, down.sum(0))
+    change(near, dq @ p.places[0].T, 0.0)
+    change(far, dq @ p.places[1].T, 0.0)
+    change(np.arange(n + c, len(p.rows)), np.concatenate([va.T @ dq, vb.T @ dq]), 0.0)
+    at, g = np.concatenate(rows), np.concatenate(values)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    g, ids = np.add.reduceat(g[order], starts, axis=0), at[starts]
+    times = np.diff(np.append(starts, len(at)))
+    times[-CONTEXT * DIMENSION :] = len(w)
+    used[ids] += times
+    squares[ids] += g * g
+    p.rows[ids] += RATE * g / np.sqrt(squares[ids])
+
+
+def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number: int) -> np.ndarray:
+    """The parameters that the tasks reach from `start` on the round's documents, each row averaged by its uses."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast((start, unigram))
+    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("used", pa.binary()), ("rows", pa.binary())])
 
     def run(batches):
         start, unigram = shared.value
-        p = Parameters(unigram).load(start.copy())
-        squares, rng, tokens = np.full(len(start), 1e-5), np.random.default_rng(number), 0
-        keys = []
-
-        def learn(keys):
-            triple, times = np.unique(np.concatenate(keys), return_counts=True)
-            order = rng.permutation(len(triple))
+        p = Parameters(unigram, start.copy())
+        squares, used, rng = np.ones_like(p.rows), np.zeros(len(p.rows)), np.random.default_rng(number)
+        log_noise = np.log(NOISE * p.share).astype(np.float32)
+        n = len(p.vectors)
+        sums = [np.cumsum(p.share[:n]), np.cumsum(p.share[n:])]
+
+        def learn(held):
+            w, near, far = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = rng.permutation(len(w))
             for a in range(0, len(order), CHUNK):
-                t = triple[order[a : a + CHUNK]]
-                nce(p, squares, t % VOCABULARY, t // VOCABULARY % VOCABULARY, t // VOCABULARY**2, times[order[a : a + CHUNK]].astype(float), unigram, rng)
+                t = order[a : a + CHUNK]
+                drawn = [first + np.minimum(np.searchsorted(s, rng.random(NOISE) * s[-1], "right"), len(s) - 1) for first, s in zip((0, n), sums, strict=True)]
+                nce(p, squares, used, w[t], near[t], far[t], drawn, log_noise)
 
-        held = 0
+        held, size = [], 0
+        for b in batches:
+            held.append(contexts(b.column(0).to_pylist(), "<i4")[:3])
+            size += len(held[-1][0])
+            if size > HELD_TRAINING:
+                learn(held)
+                held, size = [], 0
+        if size:
+            learn(held)
+        ids = np.flatnonzero(used)
+        for k in np.unique(ids // BLOCK):
+            some = ids[ids // BLOCK == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.tobytes()]), pa.array([used[some].tobytes()]), pa.array([p.rows[some].tobytes()])], schema=schema)
+
+    def merge(batches):
+        found = {}
         for b in batches:
-            w, near, far, _ = contexts(b.column(0).to_pylist())
-            keys.append((far * VOCABULARY + near) * VOCABULARY + w)
-            tokens, held = tokens + len(w), held + len(w)
-            if held > HELD_TOKENS:
-                learn(keys)
-                keys, held = [], 0
-        if held:
-            learn(keys)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start) + 1), pa.int32()), pa.array(np.append(p.flat() * tokens, tokens))], names=["at", "x"])
-
-    part = coded.where((F.col("round") == number) & ~F.col("held_out")).select("classes")
-    sums = part.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    if not len(sums):
-        return None
-    out = np.zeros(len(start) + 1)
-    out[np.asarray(sums.column(0))] = np.asarray(sums.column(1))
-    return out[:-1] / out[-1]
+            for k, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, used, rows = np.frombuffer(x[0], np.int64) - k * BLOCK, np.frombuffer(x[1]), np.frombuffer(x[2], np.float32).reshape(-1, DIMENSION + 1)
+                total, sums = found.setdefault(k, (np.zeros(BLOCK), np.zeros((BLOCK, DIMENSION + 1))))
+                total[ids] += used
+                sums[ids] += used[:, None] * rows
+        for k, (total, sums) in found.items():
+            at = np.flatnonzero(total)
+            rows = (sums[at] / total[at, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([(at + k * BLOCK).tobytes()]), pa.array([rows.tobytes()])], names=["ids", "rows"])
+
+    # as many tasks as cores: each hands on all rows that it used
+    part = coded.where((F.col("round") == number) & ~F.col("held_out")).select("classes").coalesce(spark.sparkContext.defaultParallelism)
+    parts = part.mapInArrow(run, "block int, ids binary, used binary, rows binary")
+    reached = parts.repartition(len(start) // BLOCK + 1, "block").mapInArrow(merge, "ids binary, rows binary").toArrow()
+    out = start.copy()
+    for ids, rows in zip(*(c.to_pylist() for c in reached.columns), strict=True):
+        out[np.frombuffer(ids, np.int64)] = np.frombuffer(rows, np.float32).reshape(-1, DIMENSION + 1)
+    shared.destroy()
+    return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,23 +304,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = learning.count()  # each adds an end token
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, types = total + texts, distinct + (texts > 0)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
+    top = counts.where(F.col("n") >= LEAST).toArrow()
+    if len(top) < VOCABULARY - 2:
+        top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
     top = top.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
-    top_n = np.asarray(top.column(1), np.float64)
-    vocabulary = Vocabulary(top.column(0).combine_chunks() if len(top) else pa.array([], pa.string()), top_n)
-    named = top_n[: VOCABULARY - 2]
-    class_n = np.zeros(VOCABULARY)
-    class_n[2 : 2 + len(named)] = named
-    class_n[END], class_n[OTHER] = texts, total - named.sum()
+    named = np.asarray(top.column(1), np.float64)
+    vocabulary = Vocabulary(top.column(0).combine_chunks() if len(top) else pa.array([], pa.string()), named)
+    class_n = np.concatenate([[total - named.sum(), texts], named])
     unigram = (class_n + 0.5) / (class_n + 0.5).sum()
 
     coded = save(encode(docs, vocabulary, id_col, text_col), "coded")
-    p = Parameters(unigram)
+    rows = Parameters(unigram).rows
     for number in range(ROUNDS):
-        reached = train_round(coded, p.flat(), unigram, number)
-        if reached is not None:
-            p.load(reached)
-    tables = spark.sparkContext.broadcast(p.table())
+        rows = train_round(coded, rows, unigram, number)
+    reached = spark.sparkContext.broadcast((unigram, rows))
 
     # a word of the shared class: its smoothed share of the class, with one share for all unseen words
     others, other_types = float(class_n[OTHER]), max(0, distinct - len(named))
@@ -255,9 +327,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = pa.schema([("uid", pa.int64()), ("model", pa.float64())])
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        near_word, far_word, bias, z = tables.value
-        w, near, far, n = contexts(b.column(1).to_pylist())
-        each = near_word[near, w].astype(np.float64) + far_word[far, w] + bias[w] - z[far, near]
+        w, near, far, n = contexts(b.column(1).to_pylist(), "<i4")
+        each = Parameters(*reached.value).logs(w, near, far)
         ends = np.concatenate([[0.0], np.cumsum(each)])
         at = np.concatenate([[0], np.cumsum(n)])
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(ends[at[1:]] - ends[at[:-1]])], schema=schema)
@@ -266,11 +337,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rare = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
     tail = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.log10(c + SMOOTH) * F.col("times")).alias("log_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    rows = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_other", "n_other").join(modelled, "uid").join(tail, "uid", "left")
+    rows = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "log_all").join(modelled, "uid").join(tail, "uid", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     end_known = 1 if texts else 0
     return rows.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + end_known).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("log_all") + log_rare + log_end - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("model") + F.col("log_other") + log_rare - F.col("n_other") * log_others).alias("score"),
+        (F.col("model") + log_rare - (F.col("n_tokens") - 1 - F.col("n_known")) * log_others).alias("score"),
     )

@@ -52,3 +52,29 @@ def test_odd_rows(spark, odd, none):
     assert sorted((tuple(r)[:5] for r in score(odd).collect()), key=str) == want
     assert score(none).count() == 0
     assert score(odd.where("doc_id is null")).count() == 1
+
+
+def test_two_levels():
+    rng = np.random.default_rng(0)
+    p = Parameters(np.full(40, 1 / 40))  # one bin
+    near, far, bias, z = p.table()
+    w, a, b = (rng.integers(0, 40, 200) for _ in range(3))
+    assert np.abs(p.logs(w, a, b) - (near[a, w] + far[b, w] + bias[w] - z[b, a])).max() < 1e-4
+    n = 3000
+    p = Parameters(rng.dirichlet(np.ones(n)))
+    p.rows[: n + len(p.bin_vectors)] = rng.normal(size=(n + len(p.bin_vectors), p.rows.shape[1]))
+    for a, b in ((0, 1), (2900, 7)):
+        assert len(p.bin_vectors) > 1 and abs((10.0 ** p.logs(np.arange(n), np.full(n, a), np.full(n, b))).sum() - 1) < 1e-3
+
+
+def test_context_reaches_words_beyond_the_first_thousand(spark):
+    """1,600 frequent words; then 300 pairs of rarer ones, each of whose second words follows only its first."""
+    rng = np.random.default_rng(0)
+    often = [" ".join(f"w{x}" for x in rng.integers(0, 1600, 200)) for _ in range(200)]
+    pairs = [" ".join(f"a{x} b{x}" for x in rng.permutation(300)[:100]) for _ in range(48)]
+    docs = spark.createDataFrame(list(enumerate(often + pairs)), "doc_id long, text string")
+    ids = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    asked = spark.createDataFrame([(ids[0], " ".join(f"a{x} b{x}" for x in range(300))), (ids[1], " ".join(f"a{x} b{(x + 150) % 300}" for x in range(300)))], docs.schema)
+    rows = {r.doc_id: r for r in score(docs.union(asked)).collect()}
+    assert abs(rows[ids[0]].base_score - rows[ids[1]].base_score) < 1e-6  # the same words
+    assert rows[ids[0]].score > rows[ids[1]].score + 1
