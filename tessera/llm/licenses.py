@@ -130,19 +130,19 @@ HAND: list[tuple[int, str, str, str, float]] = [
     (2, "public-domain", "public domain", "(?:placed|released|dedicated|put)(?: in| into| to)? the public domain", 0.9),
     (2, "proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", 0.9),
     (2, "proprietary", "unauthorized", "unauthorized (?:copying|reproduction|use|distribution)(?: of this [^ ]+)?(?: or [^ ]+)?(?: [^ ]+)? is (?:strictly )?prohibited", 0.85),
-    (2, "non-commercial", "commercial", "(?:for )?(?:non ?commercial|personal) use only", 0.8),
+    (2, "non-commercial", "use only", "(?:for )?(?:non ?commercial|personal) use only", 0.8),
     (2, "no-derivatives", "derivative", "no derivative works", 0.7),
     (2, "no-redistribution", "redistribut", "(?:may not be|not be|no) redistribut(?:ed|ion)(?: without (?:prior |written )*(?:permission|consent))?", 0.8),
     (2, "permission-required", "permission", "(?:used|reproduced|reprinted) (?:only )?(?:with|by) (?:the )?(?:express |prior |written )*permission", 0.7),
     (1, "public-domain", "public domain", "public domain", 0.5),
     (1, "bsd", "bsd", "bsd(?: style)? license", 0.7),
     (1, "gpl", "gpl", "gpl", 0.6),
-    (1, "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.5),
+    (1, "copyright", "copyright", "copyright (?:c |© ?)?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.5),
     (1, "copyright", "copyrighted", "copyrighted (?:material|work|content)", 0.4),
 ]
 
 #: Every keyword stands in a text that this matches; each part is one a keyword needs.
-GATE = r"(?i)cc" + GAP + r"by|general|reserved|licen[cs]|copyright|public|gpl|creative|apache|bsd|spdx|permission|proprietary|unauthorized|commercial|derivative|redistribut|either|neither|provided|software|mozilla|eclipse|cc0|cc" + GAP + r"zero|wtfpl|gfdl|odbl|pddl|odc" + GAP + r"by|epl|eupl|cddl|mpl|mit" + GAP + r"no|rail"
+GATE = r"(?i)cc" + GAP + r"by|general|reserved|licen[cs]|copyright|public|gpl|creative|apache|bsd|spdx|permission|proprietary|unauthorized|commercial|use" + GAP + r"only|derivative|redistribut|either|neither|provided|software|mozilla|eclipse|cc0|cc" + GAP + r"zero|wtfpl|gfdl|odbl|pddl|odc" + GAP + r"by|epl|eupl|cddl|mpl|mit" + GAP + r"no|rail"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:

@@ -5,7 +5,7 @@ import re
 
 import duckdb
 
-from tessera.llm.licenses import BASE, licenses, rules
+from tessera.llm.licenses import BASE, GATE, licenses, rules
 from tessera.llm.quality_rules import CURRENT, POLICIES, RULES, ablations, apply_policy, ledger, quality
 from tessera.llm.queries import LOWER, ORACLE, QUERIES, UPPER
 
@@ -83,3 +83,40 @@ def test_licenses(spark, sf, odd, none):
         assert sorted((tuple(r)[1:] for r in found.collect()), key=str) == want
     assert licenses(none).count() == 0
     assert len(rules()) > 300
+
+
+def examples(parsed):
+    """Texts that a parsed pattern matches: each branch, and repeats at their least and once more; a part at a time."""
+    found = [""]
+    for op, x in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(x)]
+        elif kind == "NOT_LITERAL":
+            own = ["q"]
+        elif kind == "IN":
+            own = [chr(v[0] if str(o) == "RANGE" else v) if str(o) != "NEGATE" else "q" for o, v in x[:1]]
+            own = own if str(x[0][0]) == "NEGATE" else [chr(v[0] if str(o) == "RANGE" else v) for o, v in x]
+        elif kind == "BRANCH":
+            own = [t for p in x[1] for t in examples(p)]
+        elif kind == "SUBPATTERN":
+            own = examples(x[3])
+        else:
+            assert kind == "MAX_REPEAT", kind
+            least, most, inner = x
+            own = [t * n for n in {least, min(most, least + 1)} for t in examples(inner)]
+        found = [a + b for a in found for b in own]
+    return found
+
+
+def test_keyword_and_gate_hold_on_every_rule():
+    for _, label, keyword, pattern, _ in rules():
+        for t in examples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, t), (label, t)
+            assert keyword in f" {t} " and re.search(GATE, t), (label, keyword, t)
+
+
+def test_personal_use_and_copyright_sign(spark):
+    texts = ["For personal use only.", "Copyright © 2020 Foo", "Copyright ©2020 Foo", "For personal use-only"]
+    found = {r.doc_id: r.labels for r in licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: "non-commercial", 1: "copyright", 2: "copyright", 3: "non-commercial"}
