@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.types import ArrayType, StringType
 from tessera.functions.text import cosine, dot
 from tessera.registry import plain, query
 
-#: Queries that a search may hold in memory on every task.
+#: Questions, about, that a search holds in memory on every task at once.
 MOST_QUERIES = 10_000
 
 
@@ -47,15 +48,20 @@ def embed(text: Column, size: int = 64) -> Column:
     return run(text)
 
 
-def top_k_batch(chunks: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
-    """For questions(question_id, vector), the k nearest chunks of each. At most MOST_QUERIES questions, which go to every task in
-    one row; a task keeps the best k of its rows for each before anything is shuffled."""
-    held = questions.limit(MOST_QUERIES + 1).agg(F.collect_list(F.struct("question_id", "vector")).alias("asked"), F.count("*").alias("n"))
-    held = held.select(F.expr(f"case when n <= {MOST_QUERIES} then asked else raise_error('too many questions') end").alias("asked"))
-    pairs = chunks.join(F.broadcast(held)).select("id", "embedding", F.explode("asked").alias("q"))
-    scored = pairs.select("id", F.col("q.question_id").alias("question_id"), cosine(F.col("embedding"), F.col("q.vector")).alias("score"))
+def top_k_batch(chunks: DataFrame, questions: DataFrame, k: int = 4, most: int = MOST_QUERIES) -> DataFrame:
+    """For questions(question_id, vector), the k nearest chunks of each. Questions are dealt by hash into blocks of about `most`, with a
+    pass over the chunks for each; a block goes to every task in one row; a task keeps the best k of its rows for each question before
+    anything is shuffled."""
+    blocks = max(1, -(-questions.count() // most))
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", turn).where(F.col("rank") <= k)
+
+    def block(number: int) -> DataFrame:
+        held = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == number).agg(F.collect_list(F.struct("question_id", "vector")).alias("asked"))
+        pairs = chunks.join(F.broadcast(held)).select("id", "embedding", F.explode("asked").alias("q"))
+        scored = pairs.select("id", F.col("q.question_id").alias("question_id"), cosine(F.col("embedding"), F.col("q.vector")).alias("score"))
+        return scored.withColumn("rank", turn).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionAll, map(block, range(blocks)))
 
 
 def context(chunks: DataFrame, key: str, order: str, text: str) -> Column:

@@ -84,3 +84,15 @@ def test_patch_and_ids(spark):
     assert sorted(map(tuple, patch(rows, new, "id").collect())) == [(1, "a", "z"), (2, "b", "y")]
     made = spark.range(3).select((F.col("id") * 5 + 1718029381000).alias("ms")).select("ms", uuid7(F.col("ms")).alias("u")).orderBy("ms").collect()
     assert [r.u for r in made] == sorted(r.u for r in made) and all(len(r.u) == 36 and r.u[14] == "7" for r in made)
+
+
+def test_more_questions_than_a_block(spark):
+    from tessera.operators.retrieval import top_k_batch
+
+    vectors = [(i, [float((i * 7 + d * 3) % 11 - 5) for d in range(4)]) for i in range(40)]
+    chunks = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    asked = spark.createDataFrame([*vectors[:20], (3, vectors[3][1])], "question_id long, vector array<float>")
+    rows = lambda df: sorted((r.question_id, r.rank, r.id, r.score) for r in df.collect())
+    whole = rows(top_k_batch(chunks, asked))
+    assert len(whole) == 80 and rows(top_k_batch(chunks, asked, most=3)) == whole
+    assert top_k_batch(chunks, asked.limit(0)).count() == 0
