@@ -4,14 +4,20 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written b
 reads it. Toxic documents go, then exact copies, then all but one of each group of near copies (five
 words, similarity 0.8); the mix repeats or leaves out documents until the sources' weights are met;
 packing turns what is left into sequences. SQL can't express the field, the hash bands, the schedule
-and the genetic algorithm: tests compare the run with brute force instead.
+and the genetic algorithm: tests hold the first three stages' rows against brute force, and the mix
+and the packing against their laws (targets, ids, lengths).
+
+Edge cases, in any stage: null and empty texts are documents like others until the mix, which takes
+none of their words; rows that repeat doc_id and text become one; rows that share a doc_id alone are
+apart; a null doc_id, lang or source is a value like others; very long texts are read whole; an
+empty table gives no rows; further columns stay, whatever their names, until packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import documents, save
+from tessera.llm.common import documents, release, save, saved
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import near_dedup
 from tessera.llm.mixing import mix_documents
@@ -51,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), set(saved())
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs, held = save(stage(spark, docs, sf_dir), name), saved()
+        release(spark, [path for path in held[:-1] if path not in before])  # what the stage and the one before wrote
     return docs

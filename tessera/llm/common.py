@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in one Arrow batch: long documents make larger batches too big for a Python worker.
 ARROW_ROWS = 500
 #: Written tables of this process, for release().
@@ -50,10 +51,16 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables written by save(). Only for callers whose earlier results are already stored."""
-    while _saved:
-        p, fs = _hadoop_path(spark, _saved.pop())
+def saved() -> list[str]:
+    """The paths of the tables that save() has written and release() has not deleted."""
+    return list(_saved)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables written by save(). Only for callers whose results from them are already stored."""
+    for path in paths:
+        _saved.remove(path)
+        p, fs = _hadoop_path(spark, path)
         fs.delete(p, True)
 
 
@@ -69,8 +76,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id is in the first column of `ids`; null counts as an id."""
-    name = free_name(docs, "kept_id")
-    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[name]), "left_semi")
+def keep_keys(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose key is in the first column of `kept`, one row a key. Each row of `docs` is shuffled once."""
+    name, other = free_name(docs, "row_key"), free_name(docs, "kept_key")
+    kept = kept.select(F.col(kept.columns[0]).alias(other))
+    keyed = docs.withColumn(name, key)
+    return keyed.join(kept, keyed[name] == kept[other], "left_semi").dropDuplicates([name]).drop(name)

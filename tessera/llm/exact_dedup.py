@@ -7,16 +7,19 @@ again with further bits of the hash, until the distinct contents of a bucket fit
 table that compares complete contents.
 
 Edge cases: a null text equals the empty text; a null doc_id sorts below all others; rows that share
-text and doc_id are copies like any others, exactly one of them stays; an empty table gives no rows.
-Other columns are ignored, whatever their names.
+text and doc_id are copies like any others, exactly one of them stays; rows that share a doc_id alone
+are apart; a text longer than the table's budget is still compared whole; an empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import pickle
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_ids, save, small_batches
+from tessera.llm.common import LOWER, UPPER, keep_keys, save, small_batches
 
 #: Bytes of distinct contents that one table may hold before its records go to spill files.
 TABLE_BYTES = 96 << 20
@@ -72,85 +75,78 @@ class ContentTable:
             self.slots[at] = e
 
 
-def grace(records: Iterator[tuple[int, bytes, object]], fold, budget: int = TABLE_BYTES, level: int = 0) -> Iterator[tuple[int, bytes, object]]:
-    """Yields (hash, content, payload) of each distinct content of the (hash, content, payload)
-    records; fold(old, new) merges payloads, with old None at first. Memory: `budget` and one record."""
+def grace(records: Iterator[tuple[int, bytes, object]], open_, fold, budget: int = TABLE_BYTES, grows: int = 0, level: int = 0) -> Iterator[tuple]:
+    """Groups (hash, content, row) records by complete content.
+
+    open_() makes a new group's state, fold(state, row) changes it and returns what the row gives at
+    once. Yields (None, that) for each row and, at the end, (content, state) for each group. Memory:
+    `budget` and one record, with `grows` bytes counted for a row folded in."""
     table = ContentTable()
-    for key, content, payload in records:
-        e, _ = table.find(key, content)
-        table.payload[e] = fold(table.payload[e], payload)
+    for key, content, row, state in ((*r, None) if len(r) == 3 else r for r in records):
+        e, fresh = table.find(key, content)
+        if fresh:
+            table.payload[e] = state or open_()
+        if not state:
+            table.bytes += grows
+            yield None, fold(table.payload[e], row)
         if table.bytes > budget and len(table.contents) > 1 and level * FANOUT_BITS < 64:
             break
     else:
-        yield from zip(table.hashes, table.contents, table.payload, strict=True)
+        yield from zip(table.contents, table.payload, strict=True)
         return
     with tempfile.TemporaryDirectory() as folder:  # the task's own scratch space, gone when it ends
         names = [os.path.join(folder, str(i)) for i in range(1 << FANOUT_BITS)]
         files = [open(n, "wb") for n in names]  # noqa: SIM115
         shift, mask = 64 - FANOUT_BITS * (level + 1), (1 << FANOUT_BITS) - 1
-
-        def spill(key: int, content: bytes, payload: object, merged: bool) -> None:
-            pickle.dump((key, content, payload, merged), files[(key >> shift) & mask], protocol=5)
-
-        for row in zip(table.hashes, table.contents, table.payload, strict=True):
-            spill(*row, True)
+        for key, content, state in zip(table.hashes, table.contents, table.payload, strict=True):
+            pickle.dump((key, content, None, state), files[(key >> shift) & mask], protocol=5)
         del table
-        for row in records:
-            spill(*row, False)
+        for r in records:
+            pickle.dump(r if len(r) == 4 else (*r, None), files[(r[0] >> shift) & mask], protocol=5)
         for f in files:
             f.close()
 
-        def again(name: str) -> Iterator[tuple[int, bytes, object]]:
+        def again(name: str) -> Iterator[tuple]:
             with open(name, "rb") as f:
                 while True:
                     try:
-                        key, content, payload, merged = pickle.load(f)
+                        yield pickle.load(f)
                     except EOFError:
                         return
-                    yield key, content, payload if merged else fold(None, payload)
 
         for name in names:
-            yield from grace(again(name), lambda old, new: new if old is None else merge_states(old, new), budget, level + 1)
+            yield from grace(again(name), open_, fold, budget, grows, level + 1)
             os.unlink(name)
 
 
-def merge_states(a: tuple, b: tuple) -> tuple:
-    """A state is (rows, largest (doc_id, uid), members)."""
-    return a[0] + b[0], max(a[1], b[1]), a[2] + b[2]
-
-
-def _fold(old: tuple | None, new: tuple) -> tuple:
-    if old is None:
-        return new[0], new[1], list(new[2])
-    old[2].extend(new[2])
-    return old[0] + new[0], max(old[1], new[1]), old[2]
-
-
 def _key(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content)
 
 
 def _collapse(budget: int):
-    """Map pass: a row for each document (its group's number here) and a row for each group."""
+    """Map pass: a row for each document, given out at once (its group's number here), and a row for each group."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("top_id", pa.int64()), ("top_uid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
+        numbers = itertools.count(base)
 
         def records():
             uid = base
             for b in batches:
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     content = (text.as_py() or "").encode().lower()
-                    i = NO_ID if doc_id is None else doc_id
-                    yield _key(content), content, (1, (i, uid), [(i, uid)])
+                    yield _key(content), content, (NO_ID if doc_id is None else doc_id, uid)
                     uid += 1
 
+        def fold(state: list, row: tuple[int, int]) -> tuple:
+            state[0] += 1
+            state[1] = max(state[1], row)
+            return row[1], row[0], state[2], None, None, None, None
+
         def rows():
-            for e, (_, content, (n, top, members)) in enumerate(grace(records(), _fold, budget)):
-                yield (None, None, base + e, content, n, *top)
-                for i, uid in members:
-                    yield uid, i, base + e, None, None, None, None
+            for content, state in grace(records(), lambda: [0, (NO_ID, -1), next(numbers)], fold, budget):
+                yield state if content is None else (None, None, state[2], content, state[0], *state[1])
 
         yield from _batches(rows(), schema)
 
@@ -158,7 +154,9 @@ def _collapse(budget: int):
 
 
 def _merge(budget: int):
-    """Reduce pass: for each group number of the map pass, the row that stays and the size."""
+    """Reduce pass: for each group number of the map pass, the row that stays and the size.
+
+    A text has one such number for each task of the map pass that met it, 8 bytes each."""
     schema = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +165,19 @@ def _merge(budget: int):
                 rest = [b.column(k).to_pylist() for k in (0, 2, 3, 4)]
                 for content, rep, n, i, uid in zip(b.column(1), *rest, strict=True):
                     content = content.as_py()
-                    yield _key(content), content, (n, (i, uid), [rep])
+                    yield _key(content), content, (n, (i, uid), rep)
+
+        def fold(state: list, row: tuple) -> None:
+            state[0] += row[0]
+            state[1] = max(state[1], row[1])
+            state[2].append(row[2])
 
         def rows():
-            for _, content, (n, top, reps) in grace(records(), _fold, budget):
-                sha = hashlib.sha256(content).hexdigest()
-                for rep in reps:
-                    yield rep, *top, n, sha
+            for content, state in grace(records(), lambda: [0, (NO_ID, -1), array("q")], fold, budget, grows=8):
+                if content is not None:
+                    sha = hashlib.sha256(content).hexdigest()
+                    for rep in state[2]:
+                        yield rep, *state[1], state[0], sha
 
         yield from _batches(rows(), schema)
 
@@ -216,5 +220,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. Rows with the same doc_id and text count as one."""
-    return keep_ids(docs, exact_groups(docs, id_col, text_col).where("kept").select("doc_id"), id_col).dropDuplicates([id_col, text_col])
+    """The rows of `docs` that stay, with all their columns: of each group of equal texts exactly one.
+
+    A row is found again by its doc_id and its normalised text together; of several such rows one stays."""
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    return keep_keys(docs, key(F.col(id_col).cast("long"), F.sha2(folded, 256)), kept)

@@ -12,8 +12,9 @@ of buckets that still lie in several components are joined once more, exactly, b
 Of a pair at similarity 0.8 the bands miss 6e-6.
 
 Edge cases: a null or wordless text has an empty set and no links; a single word is one shingle; a
-null doc_id takes part and has the least doc_id of its component, null if there is none; rows that
-share a doc_id are rows of their own; an empty table gives no rows; other columns are ignored.
+very long text is one set like others, never cut; a null doc_id takes part and has the least doc_id
+of its component, null if there is none; rows that share a doc_id are rows of their own; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_ids, save, small_batches
+from tessera.llm.common import keep_keys, save, small_batches
 from tessera.llm.words import arrow_map, mix, split_words, word_hashes, word_ids
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BANDS, ROWS = 42, 6
+#: Buckets that hold more than one HOT_BUCKETS-th of all band keys are split into SALTS parts.
+HOT_BUCKETS, SALTS = 4096, 64
 #: Ratio of the sizes in one class of the prefix filter.
 SIZE_STEP = "1.06D"
 #: Draws of the densification: DRAWS[t, b] is the bin that empty bin b tries at its t-th draw.
@@ -51,10 +54,10 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
         if n >= width:
             out.append(np.unique(grams[at : at + n - width + 1]))
         elif n:
-            short = np.uint64(n)  # a marker of the length keeps short texts apart from shingles
-            for h in words[at : at + n]:
-                short = mix(np.array([short]))[0] + h
-            out.append(mix(np.array([short])))
+            short = np.array([n], np.uint64)  # a marker of the length keeps short texts apart from shingles
+            for k in range(at, at + n):
+                short = mix(short) + words[k : k + 1]
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -94,8 +97,13 @@ def _as_set(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """Of id and text, so that copies of a text spread over tasks."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, text_hash, n_shingles, whole (128 bits of the set; null if it is empty), bands."""
+    """uid, doc_id, text_hash (of id and text), n_shingles, whole (128 bits of the set; null if it is empty), bands."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("whole", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
@@ -103,7 +111,7 @@ def signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
         keys = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_as_set(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    columns = docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col))
+    columns = docs.select(F.col(id_col).cast("long"), text_col, row_hash(id_col, text_col))
     return arrow_map(columns, run, schema, "uid long, doc_id long, text_hash long, n_shingles long, whole binary, bands array<long>", 1)
 
 
@@ -173,7 +181,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: uid, doc_id, n_shingles, component_id, kept (doc_id is the component's)."""
+    """One row per document: uid, doc_id, text_hash, n_shingles, component_id, kept (doc_id is the component's), first (the one row of the component that stays)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = save(signed(docs, width, id_col, text_col), "signed")
@@ -181,11 +189,17 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
     reps = rows.join(classes.select(F.col("rep").alias("uid")), "uid")
     banded = reps.select(F.col("uid").alias("rep"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
-    members = save(banded.join(shared, ["band", "key"]).select("band", "key", "center", "rep", "members"), "members")
+    # a bucket with many members is dealt to SALTS tasks; fewer than HOT_BUCKETS can have so many
+    many = classes.count() * BANDS // HOT_BUCKETS
+    hot = shared.where(F.col("members") > many).select("band", "key", F.lit(True).alias("hot"))
+    dealt = banded.join(F.broadcast(hot), ["band", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)))
+    salts = F.sequence(F.lit(0), F.when(F.col("members") > many, SALTS - 1).otherwise(0)).cast("array<long>")
+    members = dealt.join(shared.withColumn("salt", F.explode(salts)), ["band", "key", "salt"])
+    members = save(members.select("band", "key", "center", "rep", "members"), "members")
 
     pairs = save(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     taking = members.select("rep").distinct()
-    sets = _sets_of(docs, rows, taking, width, text_col)
+    sets = _sets_of(docs, rows, taking, width, text_col, id_col)
     links = save(confirmed(pairs, sets, percent), "links")
     nodes = save(taking.select(F.col("rep").alias("node")), "nodes")
     roots = save(components(nodes, links), "roots")
@@ -199,16 +213,17 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
         roots = save(components(nodes, links.union(found)), "roots")
 
     of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("root"))
-    rooted = rows.join(of_class, "whole", "left").select("uid", "doc_id", "n_shingles", F.coalesce("root", "uid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rooted.join(least, "root")
-    return joined.select("uid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rooted = rows.join(of_class, "whole", "left").select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("root", "uid").alias("root"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid", "text_hash")).alias("first")  # of all copies the row that stays
+    joined = rooted.join(rooted.groupBy("root").agg(first), "root").withColumn("component_id", F.col("first.doc_id"))
+    return joined.select("uid", "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("first.uid")).alias("first"))
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, taking: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(rep, shingles) of the classes that take part in a bucket. Their texts are found by hash, read and cut again."""
+def _sets_of(docs: DataFrame, rows: DataFrame, taking: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
+    """(rep, shingles) of the classes that take part in a bucket. One text of each is found by the hash of its row, read and cut again."""
     want = rows.join(taking.withColumnRenamed("rep", "uid"), "uid").select(F.col("uid").alias("rep"), "text_hash", "whole")
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(want, "text_hash")
+    texts = docs.select(F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("text_hash")).join(want, "text_hash")
+    texts = texts.dropDuplicates(["text_hash", "rep", "text"])  # repeated rows are in one task already
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
@@ -216,10 +231,13 @@ def _sets_of(docs: DataFrame, rows: DataFrame, taking: DataFrame, width: int, te
         mine = [_as_set(s) == w for s, w in zip(sets, b.column(2).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema).filter(pa.array(mine))
 
-    found = arrow_map(texts.select("rep", "text", "whole"), run, schema, "rep long, shingles array<long>", 1)
-    return save(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")  # copies have one set
+    return save(arrow_map(texts.select("rep", "text", "whole"), run, schema, "rep long, shingles array<long>", 1), "sets")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` of which one of each component stays, with all their columns; without a text a row stays."""
-    return keep_ids(docs, near_groups(docs, width, percent, id_col, text_col).where("kept").select("doc_id"), id_col)
+    """The rows of `docs` of which exactly one of each component stays, with all their columns; without words a row is a component.
+
+    A row is found again by its doc_id and text together; rows that repeat both are one."""
+    key = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), h.cast("string"))
+    kept = near_groups(docs, width, percent, id_col, text_col).where("first").select(key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    return keep_keys(docs, key(F.col(id_col).cast("long"), row_hash(id_col, text_col)), kept)

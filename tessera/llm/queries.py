@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.common import documents
+from tessera.llm.common import LOWER, UPPER, documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.kneser_ney import classify
 from tessera.llm.licenses import licenses
@@ -14,8 +14,6 @@ from tessera.llm.quality_rules import quality
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.toxicity import toxicity
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 QUERIES = {
     "op1_genetic_packing": lambda spark, sf: pack(documents(spark, sf)).drop("uid"),
     "op2_quality_rules": lambda spark, sf: quality(documents(spark, sf)),
@@ -26,7 +24,7 @@ QUERIES = {
     "op7_license_rules": lambda spark, sf: licenses(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
-    "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid"),
+    "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "first"),
 }
 
 ORACLE = {

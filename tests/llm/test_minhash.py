@@ -64,6 +64,21 @@ def test_odd_rows(odd, none):
     assert set(near_dedup(odd).columns) == set(odd.columns)
 
 
+def test_rows_that_share_a_doc_id(spark):
+    one, other = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven"
+    rows = [(2, one), (2, one), (2, other), (2, one.upper()), (None, other), (7, other + " "), (8, ""), (9, None), (9, None)]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(2, one), (2, other), (8, ""), (9, "")]
+
+
+def test_one_bucket_with_most_rows(spark):
+    """Salted: 600 documents that differ in one word of 40."""
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{words} own{i}") for i in range(600)] + [(1000 + i, f"a{i} b{i} c{i}") for i in range(300)], "doc_id long, text string")
+    rows = near_groups(docs.repartition(4)).collect()
+    assert {r.component_id for r in rows if r.doc_id < 1000} == {0} and sum(r.kept for r in rows) == 301
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (2, 30, 5000):

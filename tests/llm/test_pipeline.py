@@ -3,7 +3,7 @@ from __future__ import annotations
 import collections
 
 import corpus_pipeline
-from tessera.llm.common import documents
+from tessera.llm.common import documents, save, saved
 from tessera.llm.queries import LOWER, UPPER
 from test_minhash import brute
 
@@ -35,5 +35,20 @@ def test_stages_against_brute_force(spark, sf):
     assert sum(r.length for r in left if r.piece == 0) > 0 and collections.Counter(r.doc_id for r in left if r.piece == 0) == times
 
 
+def test_odd_rows(spark, odd, none):
+    """Nulls, repeated rows and clashing names through every stage; and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    for start in (odd, none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            docs = save(stage(spark, docs, sf), f"odd-{name}")
+            assert name == "packing" or docs.columns == start.columns
+            if name == "exact_dedup" and start is odd:
+                assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 2, 4, 5, 7, 8]
+        assert (docs.count() > 0) == (start is odd)
+
+
 def test_run(spark, sf):
+    left = len(saved())
     assert corpus_pipeline.run(spark, sf).count() > 0
+    assert len(saved()) == left + 1  # the stages' own tables are gone
