@@ -7,7 +7,9 @@ counts. Past its last block a stream starts again. A source is served until its
 exactly; where discrepancy leaves it a few slots short, they follow behind the last slot.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in
-order; equal ids stand next to each other in the stream and both count; an empty table gives no rows.
+order; equal ids stand next to each other in the stream and both count; a text longer than a block
+spans several; an empty table gives no rows. Of a document only id, text and source are read; other
+columns, whatever their names, come back with the document.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ BLOCK = 512
 #: Hash ranges that deal a source's stream to tasks; 16 ** 3.
 HEX_DIGITS = 3
 CHUNK = 1 << 14
-GOLDEN = 0.6180339887498949
+#: The golden ratio times 2 ** 64: point i is i * GOLDEN modulo 2 ** 64, exact for any number of slots.
+GOLDEN = 11400714819323198485
 #: Equal bins of the line of shares; a share lies in one or more.
 BINS = 4096
 
@@ -74,7 +77,8 @@ def slot_schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     need = need.withColumn("low", F.col("high") - F.col("slots"))
     total = need.agg(F.max("all_slots")).first()[0] or 0
     shares = need.select("place", "low", "high", "all_slots")  # one row per source
-    points = spark.range(total).select(F.col("id").alias("slot"), (F.floor(F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)) * total)).cast("long").alias("point"))
+    fraction = f"pmod(cast(id + 1 as decimal(14, 0)) * {GOLDEN}BD, {1 << 64}BD)"
+    points = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"{fraction} * cast({total} as decimal(14, 0)) div {1 << 64}BD").alias("point"))
     # shares and points meet by equal bins of the line, so that this is a join on a key
     width = max(1, -(-total // BINS))
     lines = shares.where("high > low").withColumn("bin", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
