@@ -52,3 +52,6 @@ def test_odd_rows(spark, odd, none):
     marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 300)], "doc_id long, toxic int")
     kept = drop_toxic(docs, marks)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 3]
+    few = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")  # nothing can be learnt from these
+    assert drop_toxic(docs.limit(49), few).count() == 49
+    assert drop_toxic(odd, few).count() == 9 and drop_toxic(none, few).count() == 0
