@@ -3,18 +3,20 @@
 Documents become pieces of at most LENGTH tokens; full pieces are sequences of their own. The other
 pieces are dealt by hash into problems of about PROBLEM pieces. Each problem is evolved on ISLANDS
 islands: a genome is a list of bins; crossover injects the best filled bins of one parent whole into
-the other, drops the bins that then hold duplicates and best-fits the displaced pieces. Between
+the other, drops the bins that then hold duplicates and best-fits the displaced pieces, after bins
+have swapped pieces for displaced larger ones that fill them better; mutation empties a few of the
+poorest bins in the same way. The start is best fit, so the result never needs more bins. Between
 epochs the elite of each island moves to the next one. At the end the bins that are not well filled
 in their problem are pooled over problems and evolved once more, a thousandth of them at a time.
 
-Edge cases: a null or empty text is its end token alone; equal ids stay rows of their own; an empty
-table gives no rows; other columns are ignored.
+Edge cases: a null or empty text is its end token alone; equal ids stay rows of their own; a very
+long text is tokenized whole and cut; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +33,8 @@ PROBLEM = 4096
 ISLANDS = 2
 EPOCHS = 2
 #: Offspring of an island in an epoch.
-BROOD = 6
-POPULATION = 4
+BROOD = 8
+POPULATION = 5
 
 
 @lru_cache(1)
@@ -51,9 +53,12 @@ def _encoder(vocabulary: str, merges: str):
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its pattern runs out of stack on very long runs of blanks
+                pass
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 
@@ -98,38 +103,65 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def top_up(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Swaps items of bins for larger loose ones that fit, where the least room is left over; returns what is loose then."""
+    free = sorted((sizes[i], i) for i in loose)
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        while room and free:
+            best = (0, 0, 0)
+            for at, i in enumerate(b):
+                k = bisect_right(free, (sizes[i] + room, len(sizes))) - 1
+                if k >= 0:
+                    best = max(best, (free[k][0] - sizes[i], at, k))
+            gain, at, k = best
+            if not gain:
+                break
+            out, b[at] = b[at], free.pop(k)[1]
+            insort(free, (sizes[out], out))
+            room -= gain
+    return [i for _, i in free]
+
+
 def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Bins of `a`, drawn among its best filled half, go whole into `b`."""
     order = sorted(a, key=lambda x: -sum(sizes[i] for i in x))
     best = order[: max(1, len(order) // 2)]
-    given = [list(best[k]) for k in rng.permutation(len(best))[: max(1, len(best) // 2)]]
-    have = {i for x in given for i in x}
-    child, displaced = given, []
+    child = [list(best[k]) for k in rng.permutation(len(best))[: max(1, len(best) // 2)]]
+    have = {i for x in child for i in x}
+    displaced = []
     for x in b:
         if have.isdisjoint(x):
             child.append(list(x))
         else:
             displaced += [i for i in x if i not in have]
-    return best_fit(displaced, sizes, child, capacity)
+    return best_fit(top_up(child, displaced, sizes, capacity), sizes, child, capacity)
+
+
+def mutate(a: list[list[int]], gone: int, sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
+    """Empties `gone` bins, poorly filled ones rather, and places their items anew."""
+    worth = [sum(sizes[i] for i in x) + 0.2 * capacity * rng.random() for x in a]
+    order = sorted(range(len(a)), key=worth.__getitem__)
+    kept = [list(a[k]) for k in order[gone:]]
+    displaced = [i for k in order[:gone] for i in a[k]]
+    return best_fit(top_up(kept, displaced, sizes, capacity), sizes, kept, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], brood: int, rng: np.random.Generator) -> list[list[list[int]]]:
     """An epoch of an island; the best genome comes first. Stops early at the lower bound of bins."""
     bound = -(-sum(sizes) // capacity)
     score = lambda p: fitness(p, sizes, capacity)
-    everything = list(range(len(sizes)))
-    while len(population) < POPULATION:
-        kept = [] if not population else [list(x) for x in population[0] if rng.random() < 0.7]
-        held = {i for x in kept for i in x}
-        population.append(best_fit([i for i in everything if i not in held], sizes, kept, capacity))
-        if -score(population[-1])[0] <= bound:
-            break
+    if not population:
+        population = [best_fit(list(range(len(sizes))), sizes, [], capacity)]
+    while len(population) < POPULATION and len(population[0]) > bound:
+        population.append(mutate(population[0], max(2, len(population[0]) // 4), sizes, capacity, rng))
     population.sort(key=score, reverse=True)
     for _ in range(brood):
         if len(population[0]) <= bound:
             break
-        a, b = rng.choice(len(population), 2, replace=len(population) < 2)
+        a, b = rng.choice(len(population), 2, replace=False)
         child = cross(population[a], population[b], sizes, capacity, rng)
+        child = mutate(child, max(2, len(child) // 20), sizes, capacity, rng)
         if score(child) > score(population[-1]):
             population[-1] = child
             population.sort(key=score, reverse=True)

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import best_fit, cross, evolve, pack, pack_documents
+from tessera.llm.packing import BROOD, best_fit, cross, evolve, evolved, mutate, pack, pack_documents
 from tessera.llm.queries import QUERIES
 
 
@@ -57,6 +57,23 @@ def test_operators_keep_every_item():
     a = best_fit(everything, sizes, [], 100)
     b = [[i] for i in everything]
     child = cross(b, a, sizes, 100, rng)
-    for bins in (a, child, evolve(sizes, 100, [b], 5, rng)[0]):
+    for bins in (a, child, mutate(b, 20, sizes, 100, rng), evolve(sizes, 100, [b], 5, rng)[0]):
         assert sorted(i for x in bins for i in x) == everything
         assert all(sum(sizes[i] for i in x) <= 100 for x in bins)
+
+
+def test_evolution_saves_bins(spark):
+    """Sizes that best fit packs badly: a fifth or more of its bins above the bound must go."""
+    for n, low, high, capacity in ((1000, 20, 101, 150), (500, 250, 500, 1000), (2000, 100, 700, 1024)):
+        sizes = np.random.default_rng(n).integers(low, high, n).tolist()
+        bound, start = -(-sum(sizes) // capacity), len(best_fit(list(range(n)), sizes, [], capacity))
+        assert start >= bound + 3
+        reached = len(evolve(sizes, capacity, [], BROOD, np.random.default_rng(1))[0])
+        assert reached <= start - (start - bound) // 5 and reached < start
+        items = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
+        assert evolved(items, 1, capacity, 2, 2, BROOD).select("bin").distinct().count() <= reached  # islands and migration
+
+
+def test_very_long_runs_of_blanks(spark):
+    texts = [" " * 2_000_000 + "a", "\n" * 1_000_000 + "b", "x y"]
+    check(pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), texts, 1024)
