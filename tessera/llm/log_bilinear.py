@@ -1,23 +1,25 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
-Counting covers the whole training corpus: token counts are summed in Spark. Every word counted at
-least LEAST times gets a vector, and the VOCABULARY most frequent ones in any case, so the model grows
-with the corpus; all others share one class. The model predicts a word from the CONTEXT classes before
-it: their vectors, turned by a matrix for each place, are added. Words lie in bins of neighbours by
-frequency; a word has the probability of its bin times its own among the bin's words, both softmaxes
-of that vector. Training runs in rounds. In a round every task starts from the same parameters, goes
-through its part of that round's documents with noise-contrastive estimation of words and bins in
-numpy, and each row of the parameters is averaged by how often the tasks used it, in Spark; the rounds
-together see each training token once.
-
-Bins and bins' words are few, so that both normalisers are exact and token probabilities sum to one.
-A word of the shared class has the class's probability times its smoothed share of the class. The
-vocabulary and the parameters (100 bytes a word) travel with the tasks; all other words' counts are
-joined by word.
-
-Edge cases: a null or empty text is its end token alone; a null doc_id counts as held out; repeated
-rows are rows of their own; an empty table gives no rows, and without training rows the model is
-uniform; other columns are ignored.
+Counting covers the whole training corpus: token counts are summed in Spark. A word counted at least
+LEAST times with at least one SHARE-th of all tokens has a vector of its own, and the VOCABULARY most
+frequent ones in any case: at most SHARE words, whatever the corpus. All other words fall by hash
+into HASHED classes, each with a vector, so that every token reaches the model as target and as
+context. The model predicts a class from the CONTEXT classes before it: their vectors, turned by a
+matrix for each place, are added. Classes lie in bins of neighbours by frequency; a class has the
+probability of its bin times its own among the bin's classes, both softmaxes of that vector. Training
+runs in rounds. In a round every task starts from the same parameters, goes through its part of that
+round's documents with noise-contrastive estimation of classes and bins in numpy, and each row of the
+parameters is averaged by how often the tasks used it, in Spark; the rounds together see each
+training token once. As with any such averaging, the parameters depend on how documents lie in tasks.
+
+Bins and bins' classes are few, so that both normalisers are exact and token probabilities sum to one.
+A word of a hashed class has the class's probability times its smoothed share of the class, with one
+share for all words that training never saw. The vocabulary and the parameters (100 bytes a class)
+travel with the tasks; all other words' counts, which grow with the corpus, are joined by word.
+
+Edge cases: a null or empty text is its end token alone; a null doc_id counts as held out; a very
+long text is scored whole; repeated rows are rows of their own; an empty table gives no rows, and
+without training rows the model is nearly uniform; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from tessera.llm.common import save, small_batches
 from tessera.llm.words import arrow_map, split_words
 
 VOCABULARY = 1024
-LEAST = 5
+LEAST, SHARE, HASHED = 5, 1 << 20, 1 << 14
 #: A bin has BIN_LEAST words, or its first word's number divided by BIN_GROWTH.
 BIN_LEAST, BIN_GROWTH = 64, 128
 DIMENSION = 24
@@ -41,7 +44,7 @@ NOISE = 64
 ROUNDS = 4
 CHUNK = 1 << 11
 RATE = 0.03
-OTHER, END = 0, 1
+END = 0
 #: Tokens whose counts a task adds up before it hands them on.
 HELD_TOKENS = 6_000_000
 #: Tokens that a task shuffles, rows of parameters in one message, contexts scored at once.
@@ -78,43 +81,60 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The words with vectors, most frequent first, and their counts."""
+    """The words with vectors, most frequent first, and their counts; of each hashed class the count of its words and how many there are."""
 
-    def __init__(self, words: pa.Array, counts: np.ndarray) -> None:
+    def __init__(self, words: pa.Array, counts: np.ndarray, hashed: np.ndarray, hashed_types: np.ndarray) -> None:
         self.words, self.counts = words.cast(pa.large_string()), counts
+        self.hashed, self.hashed_types = hashed, hashed_types
+
+    def unigram(self, texts: int) -> np.ndarray:
+        """Shares of the classes: the end, words, hashed classes."""
+        n = np.concatenate([[texts], self.counts, self.hashed]) + 0.5
+        return n / n.sum()
+
+
+def hashed_class(words: pa.Array) -> np.ndarray:
+    """As pmod(xxhash64(word), HASHED) in Spark."""
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(w, 42) % HASHED for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known and logs of the vocabulary, classes (32-bit, with the end), rare words and how often each."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_all", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.counts))
+    """uid, doc_id, held_out, n_tokens, n_known and logs of the vocabulary, log_hashed (of hashed classes' sizes), classes (32-bit, with the end), rare words and how often each."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_all", pa.float64()), ("log_hashed", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+    log_c = np.log10(vocabulary.counts + SMOOTH)
+    log_h = np.log10(vocabulary.hashed + SMOOTH * (vocabulary.hashed_types + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, log_c, log_h))
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        words, counts = shared.value
+        words, log_c, log_h = shared.value
         flat, n = split_words(b.column(1))
         d = flat.dictionary_encode()
+        size = max(1, len(d.dictionary))
         found = pc.index_in(d.dictionary, words)
-        of_word = np.asarray(pc.fill_null(found, -1), np.int64)
+        known = np.asarray(found.is_valid())
+        of_word = np.asarray(pc.fill_null(found, 0), np.int64) + 1
+        of_word[~known] = 1 + len(words) + hashed_class(d.dictionary.filter(pa.array(~known)))
+        log_word = np.zeros(len(of_word))
+        log_word[known] = log_c[of_word[known] - 1]
+        log_class = np.zeros(len(of_word))
+        log_class[~known] = log_h[of_word[~known] - 1 - len(words)]
         ids = np.asarray(d.indices, np.int64)
-        number = of_word[ids] if len(ids) else np.zeros(0, np.int64)
-        known = number >= 0
-        log_c = np.log10(counts + SMOOTH)
-        logs = np.where(known, log_c[np.maximum(number, 0)] if len(counts) else 0.0, 0.0)
-        cls = np.where(known, number + 2, OTHER).astype("<i4")
         owner = np.repeat(np.arange(len(b)), n)
-        sums = [np.bincount(owner, w, len(b)) for w in (known, logs)]
+        sums = [np.bincount(owner, w[ids], len(b)) for w in (known, log_word, log_class)]
+        cls = of_word[ids].astype("<i4")
         starts = np.concatenate([[0], np.cumsum(n)])
         blobs = [np.append(cls[a:z], np.int32(END)).astype("<i4").tobytes() for a, z in zip(starts, starts[1:], strict=False)]
         # rare words of a document, each once
-        at = np.flatnonzero(~known)
-        pair, times = np.unique(owner[at] * np.int64(max(1, len(d.dictionary))) + ids[at], return_counts=True)
-        place = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(d.dictionary)), minlength=len(b)))])
-        names = d.dictionary.take(pa.array(pair % max(1, len(d.dictionary)))).cast(pa.string())
+        at = np.flatnonzero(~known[ids])
+        pair, times = np.unique(owner[at] * np.int64(size) + ids[at], return_counts=True)
+        place = np.concatenate([[0], np.cumsum(np.bincount(pair // size, minlength=len(b)))])
+        names = d.dictionary.take(pa.array(pair % size)).cast(pa.string())
         rare = pa.ListArray.from_arrays(pa.array(place, pa.int32()), names)
         often = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(times, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), pa.array(n + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(blobs, pa.binary()), rare, often], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(b))), b.column(0), pa.array(n + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(blobs, pa.binary()), rare, often], schema=schema)
 
-    ddl = "uid long, doc_id long, n_tokens long, n_known long, log_all double, classes binary, rare array<string>, times array<int>"
+    ddl = "uid long, doc_id long, n_tokens long, n_known long, log_all double, log_hashed double, classes binary, rare array<string>, times array<int>"
     coded = arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema, ddl, 1)
     return coded.withColumn("held_out", held_out("doc_id")).withColumn("round", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(ROUNDS)))
 
@@ -128,7 +148,7 @@ def bin_edges(size: int) -> np.ndarray:
 
 
 class Parameters:
-    """One row for each word, each bin and each line of the context's matrices; the last column has the biases."""
+    """One row for each class, each bin and each line of the context's matrices; the last column has the biases."""
 
     def __init__(self, unigram: np.ndarray, rows: np.ndarray | None = None) -> None:
         self.edges = bin_edges(len(unigram))
@@ -295,6 +315,23 @@ def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number
     return out
 
 
+def vocabulary_of(counts: DataFrame, total: int) -> Vocabulary:
+    """From counts(word, n), whose sum is `total`."""
+    own = F.col("n") >= max(LEAST, -(-total // SHARE))
+    top = counts.where(own).toArrow()
+    if len(top) < VOCABULARY - 1:
+        top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 1).toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    words, named = top.column(0).combine_chunks() if len(top) else pa.array([], pa.string()), np.asarray(top.column(1), np.float64)
+    # what is left of each hashed class without the words that have vectors
+    by_class = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).agg(F.sum("n"), F.count("*")).toArrow()
+    hashed, types = np.zeros(HASHED), np.zeros(HASHED)
+    at = np.asarray(by_class.column(0), np.int64)
+    hashed[at], types[at] = np.asarray(by_class.column(1), np.float64), np.asarray(by_class.column(2), np.float64)
+    mine = hashed_class(words)
+    return Vocabulary(words, named, hashed - np.bincount(mine, named, HASHED), types - np.bincount(mine, minlength=HASHED))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -304,14 +341,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = learning.count()  # each adds an end token
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, types = total + texts, distinct + (texts > 0)
-    top = counts.where(F.col("n") >= LEAST).toArrow()
-    if len(top) < VOCABULARY - 2:
-        top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
-    top = top.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
-    named = np.asarray(top.column(1), np.float64)
-    vocabulary = Vocabulary(top.column(0).combine_chunks() if len(top) else pa.array([], pa.string()), named)
-    class_n = np.concatenate([[total - named.sum(), texts], named])
-    unigram = (class_n + 0.5) / (class_n + 0.5).sum()
+    vocabulary = vocabulary_of(counts, total)
+    unigram = vocabulary.unigram(texts)
 
     coded = save(encode(docs, vocabulary, id_col, text_col), "coded")
     rows = Parameters(unigram).rows
@@ -319,29 +350,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = train_round(coded, rows, unigram, number)
     reached = spark.sparkContext.broadcast((unigram, rows))
 
-    # a word of the shared class: its smoothed share of the class, with one share for all unseen words
-    others, other_types = float(class_n[OTHER]), max(0, distinct - len(named))
-    log_others = float(np.log10(others + SMOOTH * (other_types + 1)))
     log_total = float(np.log10(train_tokens + SMOOTH * (types + 1)))
     log_end = float(np.log10(texts + SMOOTH))
-    schema = pa.schema([("uid", pa.int64()), ("model", pa.float64())])
+    kept = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_hashed"]
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        w, near, far, n = contexts(b.column(1).to_pylist(), "<i4")
+        w, near, far, n = contexts(b.column(len(kept)).to_pylist(), "<i4")
         each = Parameters(*reached.value).logs(w, near, far)
         ends = np.concatenate([[0.0], np.cumsum(each)])
         at = np.concatenate([[0], np.cumsum(n)])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ends[at[1:]] - ends[at[:-1]])], schema=schema)
+        return pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(ends[at[1:]] - ends[at[:-1]])], names=[*kept, "model"])
 
-    modelled = arrow_map(coded.select("uid", "classes"), run, schema, "uid long, model double", 1)
+    modelled = arrow_map(coded.select(*kept, "classes"), run, None, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, log_all double, log_hashed double, model double", len(kept))
     rare = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
     tail = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.log10(c + SMOOTH) * F.col("times")).alias("log_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    rows = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "log_all").join(modelled, "uid").join(tail, "uid", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
-    end_known = 1 if texts else 0
-    return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + end_known).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+    return modelled.join(tail, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + (1 if texts else 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("log_all") + log_rare + log_end - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("model") + log_rare - (F.col("n_tokens") - 1 - F.col("n_known")) * log_others).alias("score"),
+        (F.col("model") + log_rare - F.col("log_hashed")).alias("score"),
     )

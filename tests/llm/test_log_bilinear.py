@@ -6,8 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.log_bilinear import VOCABULARY, Parameters, contexts, score
+from tessera.llm import log_bilinear
+from tessera.llm.log_bilinear import HASHED, SMOOTH, VOCABULARY, Parameters, contexts, hashed_class, score, vocabulary_of
 from tessera.llm.queries import LOWER, QUERIES, UPPER
 
 FOLD = str.maketrans(UPPER, LOWER)
@@ -43,8 +47,8 @@ def test_tables_are_normalised():
 
 
 def test_contexts():
-    w, near, far, n = contexts([np.array(x, "<i2").tobytes() for x in ([5, 6, 7, 1], [1], [8, 1])])
-    assert near.tolist() == [1, 5, 6, 7, 1, 1, 8] and far.tolist() == [1, 1, 5, 6, 1, 1, 1] and n.tolist() == [4, 1, 2]
+    w, near, far, n = contexts([np.array(x, "<i2").tobytes() for x in ([5, 6, 7, 0], [0], [8, 0])])
+    assert near.tolist() == [0, 5, 6, 7, 0, 0, 8] and far.tolist() == [0, 0, 5, 6, 0, 0, 0] and n.tolist() == [4, 1, 2]
 
 
 def test_odd_rows(spark, odd, none):
@@ -67,8 +71,27 @@ def test_two_levels():
         assert len(p.bin_vectors) > 1 and abs((10.0 ** p.logs(np.arange(n), np.full(n, a), np.full(n, b))).sum() - 1) < 1e-3
 
 
-def test_context_reaches_words_beyond_the_first_thousand(spark):
+def test_hashed_classes(spark):
+    words = [f"w{i}" for i in range(3000)] + ["é", "x" * 100, "日本"]
+    rows = spark.createDataFrame([(w, 9 if i < 2000 else 1 + i % 4) for i, w in enumerate(words)], "word string, n long")
+    of_spark = {r.word: r.k for r in rows.select("word", F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).collect()}
+    assert hashed_class(pa.array(words)).tolist() == [of_spark[w] for w in words]
+    v = vocabulary_of(rows, 1 << 20)
+    assert sorted(v.words.to_pylist()) == sorted(words[:2000])
+    want = collections.Counter()
+    for r in rows.where("n < 5").collect():
+        want[of_spark[r.word]] += r.n
+    assert v.hashed.sum() == sum(want.values()) and all(v.hashed[k] == n for k, n in want.items()) and v.hashed_types.sum() == 1003
+    # shares in a class and that of unseen words sum to one
+    k = max(want, key=want.get)
+    inside = [r.n for r in rows.where("n < 5").collect() if of_spark[r.word] == k]
+    assert abs(sum(n + SMOOTH for n in inside) + SMOOTH - (v.hashed[k] + SMOOTH * (v.hashed_types[k] + 1))) < 1e-9
+
+
+@pytest.mark.parametrize("share", (1 << 20, 1 << 4))  # words with vectors; hashed classes but for the most frequent
+def test_context_reaches_all_words(spark, monkeypatch, share):
     """1,600 frequent words; then 300 pairs of rarer ones, each of whose second words follows only its first."""
+    monkeypatch.setattr(log_bilinear, "SHARE", share)
     rng = np.random.default_rng(0)
     often = [" ".join(f"w{x}" for x in rng.integers(0, 1600, 200)) for _ in range(200)]
     pairs = [" ".join(f"a{x} b{x}" for x in rng.permutation(300)[:100]) for _ in range(48)]
