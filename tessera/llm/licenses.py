@@ -1,177 +1,78 @@
 """License scans by ordered signature rules. DataFrame functions only.
 
 A text's words are lower-cased and joined by single blanks, and rules are regular expressions over
-that. A case-blind pattern of the rules' keywords passes few texts on; of those, a rule runs where
-its own keyword stands. Each match is an interval of words. A detection falls to another one that
-covers its interval and has the same or a higher priority; equal intervals keep the first rule.
+that (`license_rules`). A text passes the gate if it has a word, or one of a few substrings, that
+the rules' keywords need; few do. In those, a rule runs where its own keyword stands. Each match is an interval of words. A detection falls to another
+one that covers its interval and has the same or a higher priority; equal intervals keep the first rule.
 
-The rules are some written one by one and families built from tables of names: identifiers in a
-machine-readable tag, grants ("licensed under ..."), and bare mentions.
-
-Edge cases: a null or empty text has no words and no labels; repeated rows are rows of their own; an
-empty table gives no rows; of a document only its id and text are read.
+Edge cases: a null or empty text has no words and no labels; a very long text is scanned whole;
+repeated rows are rows of their own; an empty table gives no rows; of a document only its id and text
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, text_or_empty
+from tessera.llm.license_rules import rules
 
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 #: Always reported: phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label -> names as normalised words; a space is one blank.
-NAMES: dict[str, str] = {
-    "agpl-3.0": "(?:gnu )?a(?:ffero )?g(?:eneral )?p(?:ublic )?l(?:icense)?(?: version| v)? ?3(?: 0)?|agplv3",
-    "gpl-1.0": "(?:gnu )?gpl ?v?1(?: 0)?|gnu general public license,? (?:version |v)1",
-    "gpl-2.0": "(?:gnu )?gpl ?v?2(?: 0)?|gplv2|(?:gnu )?general public license (?:version |v)2",
-    "gpl-3.0": "(?:gnu )?gpl ?v?3(?: 0)?|gplv3|(?:gnu )?general public license (?:version |v)3",
-    "lgpl-2.1": "(?:gnu )?lgpl ?v?2(?: 1)?|lgplv2|lesser general public license (?:version |v)2(?: 1)?",
-    "lgpl-3.0": "(?:gnu )?lgpl ?v?3(?: 0)?|lgplv3|lesser general public license (?:version |v)3",
-    "gfdl": "(?:gnu )?free documentation license|gfdl",
-    "apache-1.1": "apache (?:software )?license (?:version |v)?1 1",
-    "apache-2.0": "apache (?:software )?license (?:version |v)?2(?: 0)?|apache 2 0",
-    "mit": "mit license|expat license",
-    "mit-0": "mit no attribution",
-    "isc": "isc license",
-    "bsd-2-clause": "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?",
-    "bsd-3-clause": "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: license)?",
-    "bsd-4-clause": "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?",
-    "0bsd": "(?:zero clause bsd|0bsd|bsd zero clause)(?: license)?",
-    "mpl-1.1": "(?:mozilla public license|mpl)(?: version| v)? 1 1",
-    "mpl-2.0": "(?:mozilla public license|mpl)(?: version| v)? 2(?: 0)?",
-    "epl-1.0": "eclipse public license(?: version| v)? 1 0|epl 1 0",
-    "epl-2.0": "eclipse public license(?: version| v)? 2 0|epl 2 0",
-    "eupl-1.2": "european union public licen[cs]e(?: version| v)? 1 2|eupl 1 2",
-    "cddl-1.0": "common development and distribution license(?: version| v)? 1 0|cddl 1 0",
-    "cddl-1.1": "common development and distribution license(?: version| v)? 1 1|cddl 1 1",
-    "cpl-1.0": "common public license(?: version| v)? 1 0",
-    "artistic-1.0": "artistic license(?: version| v)? 1 0",
-    "artistic-2.0": "artistic license(?: version| v)? 2 0",
-    "bsl-1.0": "boost software license(?: version| v)? 1 0",
-    "busl-1.1": "business source license(?: version| v)? 1 1",
-    "sspl-1.0": "server side public license(?: version| v)?(?: 1)?",
-    "elastic-2.0": "elastic license(?: version| v)? 2(?: 0)?",
-    "zlib": "zlib license",
-    "libpng": "libpng license",
-    "curl": "curl license",
-    "openssl": "openssl license",
-    "php-3.01": "php license(?: version| v)? 3 01",
-    "python-2.0": "python software foundation license|psf license",
-    "ruby": "ruby license",
-    "vim": "vim license",
-    "wtfpl": "do what the (?:fuck|f) you want to public license|wtfpl",
-    "unlicense": "the unlicense",
-    "beerware": "beerware license",
-    "ofl-1.1": "(?:sil )?open font license(?: version| v)?(?: 1 1)?",
-    "ms-pl": "microsoft public license",
-    "ms-rl": "microsoft reciprocal license",
-    "ncsa": "university of illinois ncsa open source license|ncsa license",
-    "postgresql": "postgresql license",
-    "odbl-1.0": "open database license|odbl",
-    "odc-by-1.0": "open data commons attribution license|odc by",
-    "pddl-1.0": "public domain dedication and license|pddl",
-    "ogl-uk-3.0": "open government licence(?: v)?(?: ?3 0)?",
-    "openrail": "(?:creativeml )?open ?rail(?: m)?(?: license)?",
-    "cc0-1.0": "cc0(?: 1 0)?|cc zero|creative commons zero",
-    "cc-by-4.0": "cc by 4 0|creative commons attribution 4 0(?: international)?",
-    "cc-by-3.0": "cc by 3 0|creative commons attribution 3 0(?: unported)?",
-    "cc-by-2.0": "cc by 2 0|creative commons attribution 2 0",
-    "cc-by-sa": "cc by sa(?: [1-4] [05])?|creative commons attribution sharealike(?: [1-4] [05])?|creative commons attribution share alike(?: [1-4] [05])?",
-    "cc-by-nc": "cc by nc(?: [1-4] [05])?|creative commons attribution non ?commercial(?: [1-4] [05])?",
-    "cc-by-nd": "cc by nd(?: [1-4] [05])?|creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?",
-    "cc-by-nc-sa": "cc by nc sa(?: [1-4] [05])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?",
-    "cc-by-nc-nd": "cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?",
-}
-
-#: Verbs that open a grant.
-GRANTS = ("licen[cs]ed under", "released under", "distributed under", "available under", "published under")
-
-#: Written one by one: (priority, label, keyword, pattern, confidence).
-HAND: list[tuple[int, str, str, str, float]] = [
-    (3, "mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software", 0.99),
-    (3, "isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.99),
-    (3, "bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 0.97),
-    (3, "bsd-3-clause", "neither the name of", "neither the name of (?:the )?(?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse", 0.95),
-    (3, "apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 0.99),
-    (3, "apache-2.0", "apache org licenses", "(?:https?|http) www apache org licenses license 2 0", 0.95),
-    (3, "gpl-2.0-or-later", "either version 2", "either version 2 of the license or at your option any later version", 0.97),
-    (3, "gpl-3.0-or-later", "either version 3", "either version 3 of the license or at your option any later version", 0.97),
-    (3, "lgpl-2.1-or-later", "either version 2 1", "either version 2 1 of the license or at your option any later version", 0.97),
-    (3, "gpl", "redistribute it and or modify", "(?:this program is )?free software you can redistribute it and or modify it under the terms of the gnu general public license", 0.98),
-    (3, "gpl", "gnu org licenses", "www gnu org licenses gpl", 0.9),
-    (3, "mpl-2.0", "source code form is subject to", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.99),
-    (3, "unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain", 0.99),
-    (3, "bsl-1.0", "boost org license", "boost org license 1 0", 0.9),
-    (3, "zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95),
-    (3, "cc0-1.0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 0.97),
-    (3, "cc-by", "creativecommons org", "creativecommons org licenses by(?: [1-4] [05])", 0.95),
-    (3, "cc-by-sa", "creativecommons org", "creativecommons org licenses by sa(?: [1-4] [05])?", 0.97),
-    (3, "cc-by-nc", "creativecommons org", "creativecommons org licenses by nc(?: [1-4] [05])?", 0.97),
-    (3, "cc-by-nd", "creativecommons org", "creativecommons org licenses by nd(?: [1-4] [05])?", 0.97),
-    (3, "cc-by-nc-sa", "creativecommons org", "creativecommons org licenses by nc sa(?: [1-4] [05])?", 0.97),
-    (3, "cc-by-nc-nd", "creativecommons org", "creativecommons org licenses by nc nd(?: [1-4] [05])?", 0.97),
-    (2, "gpl", "general public license", "gnu general public license", 0.9),
-    (2, "lgpl", "general public license", "(?:gnu )?(?:lesser|library) general public license", 0.92),
-    (2, "agpl", "general public license", "(?:gnu )?affero general public license", 0.92),
-    (2, "gpl", "gpl", "gnu gpl", 0.85),
-    (2, "lgpl", "lgpl", "(?:gnu )?lgpl", 0.85),
-    (2, "agpl", "agpl", "(?:gnu )?agpl", 0.85),
-    (2, "apache", "apache", "apache (?:software )?license", 0.8),
-    (2, "mozilla", "mozilla", "mozilla public license", 0.8),
-    (2, "eclipse", "eclipse", "eclipse public license", 0.8),
-    (2, "creative-commons", "creative commons", "creative commons (?:attribution )?licen[cs]e", 0.8),
-    (2, "cc-by", "creative commons", "creative commons attribution", 0.8),
-    (2, "public-domain", "public domain", "(?:placed|released|dedicated|put)(?: in| into| to)? the public domain", 0.9),
-    (2, "proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", 0.9),
-    (2, "proprietary", "unauthorized", "unauthorized (?:copying|reproduction|use|distribution)(?: of this [^ ]+)?(?: or [^ ]+)?(?: [^ ]+)? is (?:strictly )?prohibited", 0.85),
-    (2, "non-commercial", "use only", "(?:for )?(?:non ?commercial|personal) use only", 0.8),
-    (2, "no-derivatives", "derivative", "no derivative works", 0.7),
-    (2, "no-redistribution", "redistribut", "(?:may not be|not be|no) redistribut(?:ed|ion)(?: without (?:prior |written )*(?:permission|consent))?", 0.8),
-    (2, "permission-required", "permission", "(?:used|reproduced|reprinted) (?:only )?(?:with|by) (?:the )?(?:express |prior |written )*permission", 0.7),
-    (1, "public-domain", "public domain", "public domain", 0.5),
-    (1, "bsd", "bsd", "bsd(?: style)? license", 0.7),
-    (1, "gpl", "gpl", "gpl", 0.6),
-    (1, "copyright", "copyright", "copyright (?:c |© ?)?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.5),
-    (1, "copyright", "copyrighted", "copyrighted (?:material|work|content)", 0.4),
-]
-
-#: Every keyword stands in a text that this matches; each part is one a keyword needs.
-GATE = r"(?i)cc" + GAP + r"by|general|reserved|licen[cs]|copyright|public|gpl|creative|apache|bsd|spdx|permission|proprietary|unauthorized|commercial|use" + GAP + r"only|derivative|redistribut|either|neither|provided|software|mozilla|eclipse|cc0|cc" + GAP + r"zero|wtfpl|gfdl|odbl|pddl|odc" + GAP + r"by|epl|eupl|cddl|mpl|mit" + GAP + r"no|rail"
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, pattern, confidence), the first ones win between equals."""
-    found = [(3, label, "spdx license identifier", "spdx license identifier " + label.replace("-", " ").replace(".", " ") + "(?: only| or later)?", 1.0) for label in NAMES]
-    found += HAND
-    for verb in GRANTS:
-        key = verb.split()[-2].replace("licen[cs]ed", "licen")
-        found += [(3, label, key, f"{verb} (?:the )?(?:terms of )?(?:the )?(?:{name})", 0.95) for label, name in NAMES.items()]
-    found += [(2, label, "", f"(?:{name})", 0.75) for label, name in NAMES.items()]
-    return found
+#: Words of keywords that patterns go on with inside a word; they are looked for as substrings.
+OPEN = ("licen", "gpl", "mpl", "redistribut", "modif", "scrap", "kommerziell", "gemeinfrei", "copyright", "train", "©")
+#: Too common in any prose to tell texts apart.
+COMMON = set("all any are by can change copy for have just just more must name names nc nd not only or part sa share text that the this title train under use version what with without you".split())
+
+
+def gate_words() -> list[str]:
+    """Of each keyword without an OPEN part its longest word that isn't common."""
+    keywords = {k for _, _, k, _, _ in rules()} | set(BASE)
+    closed = [k for k in keywords if not any(w in k for w in OPEN)]
+    return sorted({max((w for w in k.split() if w not in COMMON), key=lambda w: (len(w), w)) for k in closed})
+
+
+def gate(low: Column, words: Column) -> Column:
+    """Whether a keyword can stand in the text: one look at each word, and a few substrings."""
+    found = F.when(F.arrays_overlap(words, F.array(*map(F.lit, gate_words()))), 0)
+    for k, w in enumerate(OPEN):
+        found = found.when(F.contains(low, F.lit(w)), k)
+    return found.isNotNull()
+
+
+def sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hits() -> str:
+    """SQL for the rules that match `padded`, as an array. Patterns are literals, compiled once a task; a keyword is looked for once."""
+    by_keyword: dict[str, list[str]] = {}
+    for turn, (priority, label, keyword, pattern, confidence) in enumerate(rules()):
+        rule = f"named_struct('turn', {turn}, 'priority', {priority}, 'label', {sql(label)}, 'pattern', {sql(pattern)}, 'confidence', {confidence}D)"
+        by_keyword.setdefault(keyword, []).append(f"if(padded rlike {sql(f' (?:{pattern}) ')}, {rule}, null)")
+    groups = [f"if(contains(padded, {sql(k)}), array({', '.join(r)}), null)" for k, r in by_keyword.items()]
+    return f"filter(flatten(filter(array({', '.join(groups)}), g -> g is not null)), r -> r is not null)"
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base (places), base_labels, found (kept detections folded to labels, best, n)."""
-    text = text_or_empty(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    d = d.select("doc_id", F.size(F.regexp_extract_all("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))).cast("long").alias("n_words"), F.when(F.col("t").rlike(GATE), F.col("t")).alias("t"))
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("t", UPPER, LOWER), GAP, " ")), F.lit(" "))
-    d = d.withColumn("padded", F.coalesce(plain, F.lit("")))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.translate(text_or_empty(text_col), UPPER, LOWER).alias("low"))
+    d = d.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
+    padded = F.when(gate(F.col("low"), F.col("words")), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise("")
+    d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), padded.alias("padded"))
     # a match's first word gets a mark; the marked words' numbers are the places
-    places = "transform(filter(transform(split(regexp_replace(padded, concat(' (', {p}, ')(?= )'), ' \\u0001$1'), ' '), (w, i) -> if(startswith(w, '\\u0001'), i - 1, -1)), i -> i >= 0), i -> bigint(i))"
+    places = "transform(filter(transform(split(regexp_replace(padded, concat(' (', {p}, ')(?= )'), ' \u0001$1'), ' '), (w, i) -> if(startswith(w, '\u0001'), i - 1, -1)), i -> i >= 0), i -> bigint(i))"
     base = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(x).alias("label")) for p, x in BASE.items()])
     d = d.withColumn("base_hit", F.filter(base, lambda b: F.col("padded").contains(F.concat(F.lit(" "), b["phrase"], F.lit(" ")))))
     d = d.withColumn("base", F.expr(f"flatten(transform(base_hit, b -> {places.format(p='b.phrase')}))"))
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(x).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("pattern"), F.lit(c).alias("confidence")) for p, x, k, r, c in rules()])
-    d = d.withColumn("hit", F.when(F.col("padded") != "", F.filter(table, lambda r: F.col("padded").contains(r["keyword"]) & F.rlike("padded", F.concat(F.lit(" (?:"), r["pattern"], F.lit(") "))))))
+    d = d.withColumn("hit", F.expr(f"case when padded <> '' then {hits()} end"))
     # (start, -end, -priority) order: a later one can only be covered by an earlier one
     length = "transform(regexp_extract_all(padded, concat(' (', r.pattern, ')(?= )'), 0), m -> bigint(length(m) - length(replace(m, ' ', ''))))"
-    spans = f"flatten(transform(hit, (r, n) -> zip_with({places.format(p='r.pattern')}, {length}, (a, k) -> struct(a as start, -(a + k) as back, -r.priority as rank, n as turn, r.label as label, r.confidence as confidence))))"
+    spans = f"flatten(transform(hit, r -> zip_with({places.format(p='r.pattern')}, {length}, (a, k) -> struct(a as start, -(a + k) as back, -r.priority as rank, r.turn as turn, r.label as label, r.confidence as confidence))))"
     d = d.withColumn("spans", F.expr(f"sort_array({spans})"))
     # the furthest end so far by lowest priority that counts: m1 of all, m2 of 2 and 3, m3 of 3
     fold = """aggregate(spans, struct(-1L as m1, -1L as m2, -1L as m3, cast(array() as array<string>) as labels, 0.0D as best, 0L as n), (s, x) ->
