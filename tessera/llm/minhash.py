@@ -31,8 +31,8 @@ from tessera.llm.words import arrow_map, mix, split_words, word_hashes, word_ids
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BANDS, ROWS = 42, 6
-#: Buckets that hold more than one HOT_BUCKETS-th of all band keys are split into SALTS parts.
-HOT_BUCKETS, SALTS = 4096, 64
+#: Keys that hold more than one HOT_KEYS-th of all rows are split into SALTS parts.
+HOT_KEYS, SALTS = 4096, 64
 #: Ratio of the sizes in one class of the prefix filter.
 SIZE_STEP = "1.06D"
 #: Draws of the densification: DRAWS[t, b] is the bin that empty bin b tries at its t-th draw.
@@ -181,7 +181,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: uid, doc_id, text_hash, n_shingles, component_id, kept (doc_id is the component's), first (the one row of the component that stays)."""
+    """One row per document: uid, doc_id, text_hash, n_shingles, root (of the component), component_id, kept (doc_id is the component's)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = save(signed(docs, width, id_col, text_col), "signed")
@@ -189,12 +189,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
     reps = rows.join(classes.select(F.col("rep").alias("uid")), "uid")
     banded = reps.select(F.col("uid").alias("rep"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
-    # a bucket with many members is dealt to SALTS tasks; fewer than HOT_BUCKETS can have so many
-    many = classes.count() * BANDS // HOT_BUCKETS
-    hot = shared.where(F.col("members") > many).select("band", "key", F.lit(True).alias("hot"))
-    dealt = banded.join(F.broadcast(hot), ["band", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)))
-    salts = F.sequence(F.lit(0), F.when(F.col("members") > many, SALTS - 1).otherwise(0)).cast("array<long>")
-    members = dealt.join(shared.withColumn("salt", F.explode(salts)), ["band", "key", "salt"])
+    members = spread_join(banded, shared, ["band", "key"], "members", classes.count() * BANDS, "rep")
     members = save(members.select("band", "key", "center", "rep", "members"), "members")
 
     pairs = save(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
@@ -213,10 +208,21 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
         roots = save(components(nodes, links.union(found)), "roots")
 
     of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("root"))
-    rooted = rows.join(of_class, "whole", "left").select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("root", "uid").alias("root"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid", "text_hash")).alias("first")  # of all copies the row that stays
-    joined = rooted.join(rooted.groupBy("root").agg(first), "root").withColumn("component_id", F.col("first.doc_id"))
-    return joined.select("uid", "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("first.uid")).alias("first"))
+    rooted = save(rows.join(of_class, "whole", "left").select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("root", "uid").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
+    joined = spread_join(rooted, least, ["root"], "copies", rooted.count(), "uid")
+    return joined.select("uid", "doc_id", "text_hash", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, by: str) -> DataFrame:
+    """rows joined with groups(keys, size, ...), one row a key, where `size` counts a key's rows and `total` all rows.
+
+    A key with more than a HOT_KEYS-th of all rows is dealt to SALTS tasks. Fewer than HOT_KEYS can have so many: they are broadcast."""
+    many = total // HOT_KEYS
+    hot = groups.where(F.col(size) > many).select(*keys, F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0))).drop("hot")
+    salts = F.sequence(F.lit(0), F.when(F.col(size) > many, SALTS - 1).otherwise(0)).cast("array<long>")
+    return dealt.join(groups.withColumn("salt", F.explode(salts)), [*keys, "salt"])
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, taking: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
@@ -239,5 +245,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     A row is found again by its doc_id and text together; rows that repeat both are one."""
     key = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), h.cast("string"))
-    kept = near_groups(docs, width, percent, id_col, text_col).where("first").select(key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    able = near_groups(docs, width, percent, id_col, text_col).where("kept")  # one row a component, but for repeated ids
+    first = able.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), "uid").alias("first"))
+    kept = first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key")).distinct()
     return keep_keys(docs, key(F.col(id_col).cast("long"), row_hash(id_col, text_col)), kept)

@@ -24,7 +24,7 @@ QUERIES = {
     "op7_license_rules": lambda spark, sf: licenses(documents(spark, sf)),
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
-    "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "first"),
+    "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "root"),
 }
 
 ORACLE = {
