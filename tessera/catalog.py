@@ -6,7 +6,7 @@ import importlib
 
 from tessera.registry import ORACLE, QUERIES
 
-MODULES = tuple(f"tessera.operators.{m}" for m in ("forum", "people", "play", "presence", "retrieval", "rooms", "feeds"))
+MODULES = tuple(f"tessera.operators.{m}" for m in ("forum", "people", "play", "presence", "retrieval", "rooms", "feeds", "commands"))
 
 
 def _load() -> None:

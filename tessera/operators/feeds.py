@@ -11,7 +11,7 @@ from tessera.operators.retrieval import chunked, embed, sections, top_k_l2
 from tessera.registry import plain, query
 from tessera.sources.files import append, fresh_folder, is_seeded, markdown, truncate
 from tessera.streaming.presence import events_stream
-from tessera.streaming.queues import after_commit, broadcast_to, consume, expired_keys, messages, routed, with_dead_letters
+from tessera.streaming.queues import after_commit, broadcast_to, consume, expired_keys, messages, publish, routed, store, with_dead_letters
 
 
 def event_queue(t) -> DataFrame:
@@ -26,18 +26,26 @@ def stored(t, tag: str, rows: DataFrame, handle) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/out")
 
 
-def _refuse(_: DataFrame) -> None:
+def _refuse(_: DataFrame, __: int) -> None:
     raise ValueError("refused")
 
 
-def _written(t, rows: DataFrame, clear: bool = False) -> DataFrame:
+def _written(t, rows: DataFrame) -> DataFrame:
     folder = fresh_folder(t.spark, "table")
     append(rows, folder)
-    if clear:
-        truncate(t.spark, folder)
     return t.spark.read.schema(rows.schema).parquet(folder)
 
 
+def _truncated(t) -> DataFrame:
+    """Rows before and after, and columns after."""
+    folder = fresh_folder(t.spark, "table")
+    append(t.chunks, folder)
+    before = t.spark.read.parquet(folder).count()
+    truncate(t.spark, folder)
+    left = t.spark.read.parquet(folder)
+    return left.agg(F.lit(before).cast("bigint").alias("before"), F.count("*").alias("after"), F.lit(len(left.columns)).alias("columns"))
+
+
 def _seeded(t) -> DataFrame:
     folder = fresh_folder(t.spark, "seed")
     before = is_seeded(t.spark, folder)
@@ -59,7 +67,7 @@ def _markdown(t) -> DataFrame:
 
 
 query("source_queue", "select event_id, user_id, event_type from events where event_type <> 'error'")(
-    lambda t: stored(t, "queue", routed(event_queue(t), "post.#").where("event_type <> 'error'"), lambda to: with_dead_letters(lambda b: append(b, to), f"{to}-dead")).select("event_id", "user_id", "event_type")
+    lambda t: stored(t, "queue", routed(event_queue(t), "post.#").where("event_type <> 'error'"), lambda to: with_dead_letters(store(to), f"{to}-dead")).select("event_id", "user_id", "event_type")
 )
 query("sink_dlq", "select event_id, 'refused' as error from events where event_type = 'error'")(
     lambda t: stored(t, "dlq", routed(event_queue(t), "post.error"), lambda to: with_dead_letters(_refuse, to, pause=0.01)).select("event_id", "error")
@@ -73,9 +81,12 @@ select concat('user:', user_id, ':session') as key, expired_at from x where expi
 query("sink_broadcast", "select concat('/topic/user/', user_id) as topic, upper(event_type) as type, concat('{\"id\":', event_id, '}') as data from events")(
     lambda t: stored(t, "topics", event_queue(t).select(*messages("user", F.col("user_id"), F.upper("event_type"), F.struct(F.col("event_id").alias("id")))), broadcast_to).select("topic", "type", "data")
 )
+query("sink_publish", "select event_id, concat('post.', event_type) as routing_key, concat('{\"user\":', user_id, '}') as body from events where event_type in ('click', 'view')")(
+    lambda t: stored(t, "published", event_queue(t).where("event_type <> 'purchase'"), lambda to: publish(to, "post.#", F.to_json(F.struct(F.col("user_id").alias("user"))))).where("event_type in ('click', 'view')").select("event_id", "routing_key", "body")
+)
 query("sink_insert", "select event_id, user_id, event_type from events")(lambda t: _written(t, t.events.select("event_id", "user_id", "event_type")))
 query("sink_vector", "select id, label, cast(len(embedding) as bigint) as size from chunks")(lambda t: _written(t, t.chunks).select("id", "label", F.size("embedding").cast("bigint").alias("size")))
-query("sink_truncate", "select id, label from chunks where false")(lambda t: _written(t, t.chunks, clear=True).select("id", "label"))
+query("sink_truncate", "select (select count(*) from chunks) as before, cast(0 as bigint) as after, 3 as columns")(_truncated)
 query("src_seeded", "select false as before, true as after")(_seeded)
 query("scan_files", "select n_nationkey, n_name from nation")(_files)
 
@@ -90,10 +101,10 @@ def _expired(t) -> DataFrame:
 
 query("doc_prefix", "select cast(doc_id as varchar) as source, unnest(['[Title]', '[Title > Notes]']) as prefix from documents")(lambda t: sections(_markdown(t)).select("source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("prefix")))
 query("doc_metadata")(lambda t: chunked(t.documents, "doc_id", "text").select(F.struct(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("source"), "position").alias("metadata"), "chunk"))
-query("vec_embed")(lambda t: t.documents.select("doc_id", embed(F.col("text")).alias("embedding")))
+query("vec_embed")(lambda t: embed(t.documents, "doc_id", "text"))
 _L2 = "round(list_distance(cast(c.embedding as double[]), cast(q.embedding as double[])), 4)"
 query("vec_topk", f"select c.id, {_L2} as distance from chunks c, (select embedding from chunks where id = 0) q order by {_L2}, c.id limit 4")(
-    lambda t: top_k_l2(t.chunks, t.chunks.where("id = 0").first()["embedding"]).select("id", F.round("distance", 4).alias("distance"))
+    lambda t: top_k_l2(t.chunks, t.chunks.where("id = 0").select("embedding")).select("id", F.round("distance", 4).alias("distance"))
 )
 query("fn_plainto", f"select id, cast(len({_TOKENS.format(x='line')}) as bigint) as n from (select id, concat(title, ' / ', status) as line from posts)")(
     lambda t: t.posts.select("id", F.size(lexemes(F.concat("title", F.lit(" / "), "status"))).cast("bigint").alias("n"))
@@ -103,7 +114,6 @@ query("fn_parse_uuid", f"select event_id, case when regexp_full_match({_ID}, '[0
     lambda t: t.events.select("event_id", parse_uuid(F.expr(_ID.replace("varchar", "string"))).alias("id"))
 )
 query("fn_uuid7")(lambda t: t.rooms.select("room_id", uuid7(F.col("created_at_ms")).alias("id")))
-query("fn_random")(lambda t: t.users.where("role = 'GUEST'").select("id", F.expr("concat('guest_', randstr(8))").alias("name")))
 query("fn_json_root_check", "select id from (select id, case when id % 2 = 0 then '{\"type\":\"doc\"}' when id % 3 = 0 then '{\"type\":\"p\"}' else 'x' end as body from posts) where case when json_valid(body) then json_extract_string(body, '$.type') end = 'doc'")(
     lambda t: t.posts.withColumn("body", F.expr("case when id % 2 = 0 then '{\"type\":\"doc\"}' when id % 3 = 0 then '{\"type\":\"p\"}' else 'x' end")).where("try_variant_get(try_parse_json(body), '$.type', 'string') = 'doc'").select("id")
 )

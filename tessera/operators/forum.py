@@ -145,7 +145,6 @@ for _name, _sql in {
     "agg_count_distinct": "select count(distinct author_id) as authors from posts where deleted_at is null",
     "agg_count_total": "select status, count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as pages from posts where deleted_at is null group by status",
     "agg_distinct_set": "select distinct post_id from post_likes where user_id = 5 and is_active",
-    "win_like_last": "select user_id, post_id, is_active from post_likes",
     "fn_concat": "select id, concat(title, ' / ', status) as line from posts",
     "fn_case_trim": "select id, upper(trim(status)) as up, lower(status) as low from posts",
     "sort_replies_id": "select id, parent_id from comments where parent_id = 300 order by id",

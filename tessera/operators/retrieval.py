@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import json
-import zlib
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,32 +17,28 @@ from tessera.registry import plain, query
 MOST_QUERIES = 10_000
 
 
-def top_k(chunks: DataFrame, question: list[float], k: int = 4) -> DataFrame:
-    """The k nearest chunks by cosine, exactly: a partial top k in every task."""
-    asked = F.array(*[F.lit(float(x)) for x in question])
-    return chunks.withColumn("score", cosine(F.col("embedding"), asked)).orderBy(F.desc("score"), "id").limit(k)
+def top_k(chunks: DataFrame, question: DataFrame, k: int = 4) -> DataFrame:
+    """The k nearest chunks by cosine to the vector of a one-row table, exactly: a partial top k in every task."""
+    asked = question.limit(1).select(F.col(question.columns[0]).alias("asked"))
+    return chunks.join(F.broadcast(asked)).withColumn("score", cosine(F.col("embedding"), F.col("asked"))).drop("asked").orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_k_l2(chunks: DataFrame, question: list[float], k: int = 4) -> DataFrame:
+def top_k_l2(chunks: DataFrame, question: DataFrame, k: int = 4) -> DataFrame:
     """As top_k, by Euclidean distance."""
-    asked = F.array(*[F.lit(float(x)) for x in question])
-    apart = F.zip_with("embedding", asked, lambda x, y: x.cast("double") - y)
-    return chunks.withColumn("distance", F.sqrt(dot(apart, apart))).orderBy("distance", "id").limit(k)
+    asked = question.limit(1).select(F.col(question.columns[0]).alias("asked"))
+    apart = F.zip_with("embedding", "asked", lambda x, y: x.cast("double") - y)
+    return chunks.join(F.broadcast(asked)).withColumn("distance", F.sqrt(dot(apart, apart))).drop("asked").orderBy("distance", "id").limit(k)
 
 
-def embed(text: Column, size: int = 64) -> Column:
-    """A vector of length 1 from hashed lower-case words, without a trained model; zeros without words."""
-
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray:
-            words = (text or "").lower().split()
-            v = np.bincount(np.fromiter((zlib.crc32(w.encode()) % size for w in words), np.int64, len(words)), minlength=size).astype(np.float32)
-            return v / max(1.0, float(np.linalg.norm(v)))
-
-        return texts.map(one)
-
-    return run(text)
+def embed(rows: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
+    """id and embedding: a vector of length 1 from hashed lower-case words, without a trained model; zeros without words. Ids are
+    distinct. Words are counted by cell before anything is shuffled."""
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: w != "")
+    cells = rows.select(id_col, F.explode_outer(words).alias("word")).groupBy(id_col, F.pmod(F.crc32("word"), F.lit(size)).cast("int").alias("cell")).agg(F.count("word").alias("n"))
+    counts = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("counts"))  # at most `size` entries
+    norm = F.sqrt(F.aggregate(F.map_values("counts"), F.lit(0.0), lambda s, n: s + n * n))
+    at = lambda k: F.coalesce(F.try_element_at("counts", k), F.lit(0)) / F.greatest(norm, F.lit(1.0))
+    return counts.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: at(k).cast("float")).alias("embedding"))
 
 
 def top_k_batch(chunks: DataFrame, questions: DataFrame, k: int = 4, most: int = MOST_QUERIES) -> DataFrame:
@@ -157,7 +150,7 @@ def tree_images(bodies):
 
 _COS = "round(list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])), 4)"
 query("topk_vector", f"select c.id, {_COS} as score from chunks c, (select embedding from chunks where id = 0) q order by {_COS} desc, c.id limit 4")(
-    lambda t: top_k(t.chunks, t.chunks.where("id = 0").first()["embedding"]).select("id", F.round("score", 4).alias("score"))
+    lambda t: top_k(t.chunks, t.chunks.where("id = 0").select("embedding")).select("id", F.round("score", 4).alias("score"))
 )
 query("vec_topk_batch", f"select * from (select q.id as question_id, c.id, {_COS} as score, row_number() over (partition by q.id order by list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])) desc, c.id) as rank from chunks c, (select * from chunks where id % 50 = 0) q) where rank <= 4")(
     lambda t: top_k_batch(t.chunks, t.chunks.where("id % 50 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"))).select("question_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -167,8 +160,17 @@ query("agg_concat_history", "select session_id, string_agg(role || ': ' || conte
     lambda t: t.chat_messages.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), "content").alias("x")))), lambda c: c["x"]), "\n").alias("history"))
 )
 query("win_prune", "select session_id, seq, count(*) over (partition by session_id) >= 6 and row_number() over (partition by session_id order by seq desc) > 2 as summarise from chat_messages")(lambda t: pruned_history(t.chat_messages).select("session_id", "seq", "summarise"))
-query("chat_title", "select session_id, array_to_string(list_slice(string_split(min_by(content, seq), ' '), 1, 6), ' ') as title from chat_messages group by session_id")(lambda t: t.chat_messages.groupBy("session_id").agg(F.array_join(F.slice(F.split(F.min_by("content", "seq"), " "), 1, 6), " ").alias("title")))
-query("doc_split_headers")(lambda t: sections(t.documents.select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("# Title\n"), "text", F.lit("\n## Notes\nend")).alias("text"))))
+query("doc_split_headers", r"""with d as (select cast(doc_id as varchar) as source, string_split(concat('# Title', chr(10), text, chr(10), '## Notes', chr(10), 'end'), chr(10)) as rows from documents where text is not null),
+l as (select source, unnest(rows) as row, unnest(range(len(rows))) as line from d),
+m as (select *, length(regexp_extract(row, '^(#{1,3})\s+\S', 1)) as level, trim(regexp_replace(row, '^#{1,3}\s+', '')) as name from l),
+h as (select *, cast(sum(case when level > 0 then 1 else 0 end) over s as bigint) as section,
+  last_value(case when level = 1 then name end ignore nulls) over s as h1,
+  last_value(case when level = 2 then name when level = 1 then '' end ignore nulls) over s as h2,
+  last_value(case when level = 3 then name when level in (1, 2) then '' end ignore nulls) over s as h3
+  from m window s as (partition by source order by line)),
+p as (select source, section, max(h1) as h1, max(h2) as h2, max(h3) as h3, string_agg(row, chr(10) order by line) as body from h group by source, section),
+q as (select source, section, body, array_to_string(list_filter([h1, h2, h3], lambda x: coalesce(x, '') <> ''), ' > ') as path from p where trim(body) <> '')
+select source, section, path, case when path <> '' then concat('[', path, ']', chr(10)) else '' end || body as text from q""")(lambda t: sections(t.documents.select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("# Title\n"), "text", F.lit("\n## Notes\nend")).alias("text"))))
 query("doc_chunk")(lambda t: chunked(t.documents, "doc_id", "text"))
 query("json_tree_images", "select id, ['img' || id] as images from users")(
     lambda t: t.users.select("id", tree_images(F.format_string('{"type":"doc","content":[{"type":"p","content":[{"type":"image","attrs":{"data-public-id":"img%s"}}]},{"type":"image","attrs":{"data-public-id":" "}}]}', "id")).alias("images"))
@@ -183,6 +185,5 @@ for _name, _sql in {
     "route_question": "select session_id, seq, case when role in ('system', 'user') then role else 'other' end as branch from chat_messages",
     "fn_clean_label": "select session_id, seq, case when role in ('user', 'assistant') then role else 'system' end as label from chat_messages",
     "vec_empty_shortcut": "select s.id, case when count(m.seq) = 0 then 'no_context' else 'answer' end as branch from chat_sessions s left join chat_messages m on m.session_id = s.id + 2 group by s.id",
-    "st_chat_reducer": "select session_id, max(seq) as last_seq, count(*) as n from chat_messages group by session_id",
 }.items():
     plain(_name, _sql)

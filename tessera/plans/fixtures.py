@@ -63,7 +63,7 @@ select s_suppkey as room_id, s_name as name, s_suppkey % 150 as host_id, case wh
   1718029381000 + s_suppkey * 1000 as created_at_ms
 from supplier""",
     "spectators": "select event_id % 100 + 1 as room_id, user_id, min(ts) as joined_at from events where event_type = 'view' group by event_id % 100 + 1, user_id",
-    "room_chat": "select conv_id as room_id, turn as seq, (conv_id + turn) % 150 as sender_id, substr(text, 1, 500) as message from conversations",
+    "room_chat": "select conv_id as room_id, turn as seq, (conv_id + turn) % 150 as sender_id, text as message from conversations",
     "chat_sessions": """
 select conv_id as id, conv_id % 20 as user_id, max(turn) + 1 as n_messages, {TS} '2024-04-01 00:00:00' + interval '1' minute * conv_id as created_at
 from conversations group by conv_id""",
@@ -73,9 +73,9 @@ from conversations group by conv_id""",
 select room_id, event_id, at_ms, case action when 'join' then room_id * 10 + 2 when 'watch' then room_id * 10 + 3 else room_id * 10 + 1 + (step + case when event_id % 7 = 6 then 1 else 0 end) % 2 end as user_id,
   case action when 'watch' then 'join' else action end as action, case action when 'create' then 'white' when 'join' then 'black' when 'watch' then 'spectator' when 'switch' then 'white' end as role,
   event_type <> 'error' as online, event_id % 19 = 7 as busy, cast(1 + room_id % 3 as int) as time_minutes, cast(room_id % 4 as int) as increment_seconds, room_id % 9 = 0 as is_private, room_id % 5 = 0 as spectators_locked
-from (select event_id, event_type, event_id % 20 as room_id, cast(floor(event_id / 20) as bigint) % 15 as step,
-    1718029381000 + cast(floor(event_id / 20) as bigint) * 4000 + event_id * 7919 % 3000 as at_ms,
-    case cast(floor(event_id / 20) as bigint) % 15 when 0 then 'create' when 1 then 'join' when 2 then 'ready' when 3 then 'ready' when 9 then 'offer_draw' when 10 then case event_id % 3 when 0 then 'accept_draw' when 1 then 'decline_draw' else 'resign' end
+from (select event_id, event_type, cast(floor(event_id / 300) as bigint) as room_id, event_id % 15 as step,
+    1718029381000 + event_id * 4000 + event_id * 7919 % 3000 as at_ms,
+    case event_id % 15 when 0 then 'create' when 1 then 'join' when 2 then 'ready' when 3 then 'ready' when 9 then 'offer_draw' when 10 then case event_id % 3 when 0 then 'accept_draw' when 1 then 'decline_draw' else 'resign' end
       when 8 then 'drop' when 11 then 'watch' when 12 then 'switch' when 13 then 'leave' when 14 then case when event_id % 4 = 0 then 'delete' else 'leave' end else 'move' end as action from events) x""",
     "presence_log": "select user_id, ts, case when event_type in ('view', 'click') then 1 else -1 end as step, event_type, event_id from events",
 }
@@ -96,7 +96,10 @@ def with_views(sql: str, ts: str) -> str:
     sql = sql.replace("{TS}", ts).strip()
     if not heads:
         return sql
-    return f"with {heads}, {sql[5:]}" if sql.startswith("with ") else f"with {heads} {sql}"
+    for word in ("with recursive ", "with "):
+        if sql.startswith(word):
+            return f"{word}{heads}, {sql[len(word) :]}"
+    return f"with {heads} {sql}"
 
 
 class Tables:

@@ -18,14 +18,24 @@ def routed(rows: DataFrame, binding: str) -> DataFrame:
     return rows.where(F.concat(F.lit("."), "routing_key").rlike(f"^{''.join(parts)}$"))
 
 
-def with_dead_letters(write: Callable[[DataFrame], None], dead: str, attempts: int = 3, pause: float = 1.0, factor: float = 2.0, most: float = 10.0) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: tries `write` some times with growing pauses, then puts the batch under `dead` with its number; a rerun
-    replaces it."""
+def store(folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch that comes again, or a second attempt, replaces its rows."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def publish(folder: str, binding: str, body: Column) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the messages whose routing_key fits the binding, with their body, partitioned by key."""
+    return lambda batch, number: routed(batch, binding).withColumn("body", body).withColumn("topic", F.col("routing_key")).write.mode("overwrite").partitionBy("topic").parquet(f"{folder}/batch={number}")
+
+
+def with_dead_letters(write: Callable[[DataFrame, int], None], dead: str, attempts: int = 3, pause: float = 1.0, factor: float = 2.0, most: float = 10.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: tries write(batch, number) some times with growing pauses, then puts the batch under `dead` with its number;
+    a rerun replaces it. `write` has to replace what an attempt before it left, as store() does."""
 
     def run(batch: DataFrame, number: int) -> None:
         for attempt in range(attempts):
             try:
-                write(batch)
+                write(batch, number)
                 return
             except Exception as e:  # noqa: BLE001  any failure of the consumer counts
                 error = str(e)[:500]

@@ -17,15 +17,17 @@ from tessera.streaming.queues import routed, with_dead_letters
 def test_sessions_of_stream_and_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(2).write.parquet(f"{tmp_path}/in")
-    stream = session_stream(events_stream(spark, f"{tmp_path}/in", events.schema), "6 hours", "60 days")
+    stream = session_stream(events_stream(spark, f"{tmp_path}/in", events.schema), "6 hours", "1 hour")
     q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    closed = {(r.user_id, str(r.started), r.n) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()}
-    assert closed <= {(r.user_id, str(r.started), r.n) for r in sessions(events.withColumn("ts", events.ts.cast("timestamp")), "6 hours").collect()}
+    batch = sessions(events.withColumn("ts", events.ts.cast("timestamp")), "6 hours")
+    passed = events.selectExpr("date_trunc('millisecond', cast(max(ts) as timestamp)) - interval 1 hour").first()[0]  # the last watermark
+    want = {(r.user_id, str(r.started), r.n) for r in batch.collect() if r.ended <= passed}
+    assert want and {(r.user_id, str(r.started), r.n) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()} == want
 
 
 def test_dead_letters(spark, tmp_path):
-    def fail(_):
+    def fail(_, __):
         raise ValueError("no")
 
     with_dead_letters(fail, f"{tmp_path}/dead", pause=0.01)(spark.range(3), 7)
@@ -39,7 +41,8 @@ def test_routed(spark):
 
 
 def test_embed(spark):
-    rows = spark.createDataFrame([("",), (None,), ("One two ONE",)], "t string").select(embed(F.col("t"), 16)).collect()
+    docs = spark.createDataFrame([(0, ""), (1, None), (2, "One two ONE")], "id long, t string")
+    rows = [(r.embedding,) for r in embed(docs, "id", "t", 16).orderBy("id").collect()]
     want = [0.0] * 16
     for w in ("one", "two", "one"):
         want[zlib.crc32(w.encode()) % 16] += 1
