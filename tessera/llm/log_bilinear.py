@@ -35,12 +35,12 @@ from tessera.llm.common import save, small_batches
 from tessera.llm.words import arrow_map, split_words
 
 VOCABULARY = 1024
-LEAST, SHARE, HASHED = 5, 1 << 20, 1 << 14
-#: A bin has BIN_LEAST words, or its first word's number divided by BIN_GROWTH.
-BIN_LEAST, BIN_GROWTH = 64, 128
-DIMENSION = 24
+LEAST, SHARE, HASHED = 5, 1 << 17, 1 << 12
+#: A bin has BIN_LEAST classes, or its first class's number divided by BIN_GROWTH.
+BIN_LEAST, BIN_GROWTH = 32, 32
+DIMENSION = 20
 CONTEXT = 2
-NOISE = 64
+NOISE = 32
 ROUNDS = 4
 CHUNK = 1 << 11
 RATE = 0.03
@@ -176,32 +176,34 @@ class Parameters:
         return tuple((x * scale).astype(np.float32) for x in (near, far, self.bias, z))
 
     def logs(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability after its context: its bin's, and its own in the bin."""
+        """log10 of each class's probability after its context: its bin's, and its own in the bin."""
         n = len(self.vectors)
-        pairs, at = np.unique(far * n + near, return_inverse=True)
-        q = np.empty((len(pairs), DIMENSION), np.float32)
-        bins_z = np.empty(len(pairs))
-        for a in range(0, len(pairs), SLICE):
-            part = pairs[a : a + SLICE]
-            q[a : a + SLICE] = self.vectors[part % n] @ self.places[0] + self.vectors[part // n] @ self.places[1]
-            bins_z[a : a + SLICE] = normaliser(q[a : a + SLICE] @ self.bin_vectors.T + self.bin_bias)
-        bins = self.bin_of[w]
-        out = (q[at] * (self.bin_vectors[bins] + self.vectors[w])).sum(1) + self.bin_bias[bins] + self.bias[w] - bins_z[at]
-        order = np.argsort(bins, kind="stable")
-        stops = np.searchsorted(bins[order], np.arange(len(self.edges)))
+        classes, bins = self.rows[:n], self.rows[n : n + len(self.bin_vectors)]
+        q = np.ones((len(w), DIMENSION + 1), np.float32)  # the last column meets the biases
+        at_near, at_far = self.vectors @ self.places[0], self.vectors @ self.places[1]
+        q[:, :DIMENSION] = at_near[near] + at_far[far]
+        bin_of = self.bin_of[w]
+        out = np.einsum("ij,ij->i", q, bins[bin_of] + classes[w])
+        for a in range(0, len(w), SLICE):
+            out[a : a + SLICE] -= normaliser(q[a : a + SLICE], bins)
+        order = np.argsort(bin_of.astype(np.uint16) if len(bins) < 1 << 16 else bin_of, kind="stable")
+        stops = np.searchsorted(bin_of[order], np.arange(len(self.edges)))
         for k in np.flatnonzero(np.diff(stops)):
-            words = slice(self.edges[k], self.edges[k + 1])
+            words = classes[self.edges[k] : self.edges[k + 1]]
             for a in range(stops[k], stops[k + 1], SLICE):
                 some = order[a : min(a + SLICE, stops[k + 1])]
-                out[some] -= normaliser(q[at[some]] @ self.vectors[words].T + self.bias[words])
+                out[some] -= normaliser(q[some], words)
         return out * np.log10(np.e)
 
 
-def normaliser(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp in each line; overwrites x."""
-    top = x.max(1, keepdims=True)
-    x -= top
-    return np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
+def normaliser(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(q . row) over the rows."""
+    x = q @ rows.T
+    top = np.zeros(len(x), np.float32)
+    if np.abs(x).max(initial=0) > 60:  # where exp could leave its range
+        top = x.max(1)
+        x -= top[:, None]
+    return np.log(np.exp(x, out=x) @ np.ones(len(rows), np.float32)) + top
 
 
 def contexts(blobs: list[bytes], kind: str = "<i2") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,42 +219,62 @@ def contexts(blobs: list[bytes], kind: str = "<i2") -> tuple[np.ndarray, np.ndar
     return w, near, far, n
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)); overwrites x."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def nce(p: Parameters, squares: np.ndarray, used: np.ndarray, w: np.ndarray, near: np.ndarray, far: np.ndarray, drawn: list[np.ndarray], log_noise: np.ndarray) -> None:
-    """One step; the `drawn` noise words and noise bins serve all tokens. Only the rows that take part change."""
-    n, c = len(p.vectors), len(p.bin_vectors)
+    """One step on tokens that follow each other; the `drawn` noise classes and noise bins serve all of them. Only the rows that take part change."""
+    n, c, t = len(p.vectors), len(p.bin_vectors), len(w)
     outputs = p.rows[: n + c]
     va, vb = p.vectors[near], p.vectors[far]
     q = va @ p.places[0] + vb @ p.places[1]
     dq = np.zeros_like(q)
-    rows, values = [], []
-
-    def change(at: np.ndarray, vectors: np.ndarray, bias: np.ndarray | float) -> None:
-        v = np.empty((len(at), DIMENSION + 1), np.float32)
-        v[:, :DIMENSION], v[:, DIMENSION] = vectors, bias
-        rows.append(at)
-        values.append(v)
-
+    grads = []
     for target, noise in zip((w, n + p.bin_of[w]), drawn, strict=True):
         right, wrong = outputs[target], outputs[noise]
         vw, vn = right[:, :DIMENSION], wrong[:, :DIMENSION]
-        up = 1 / (1 + np.exp(np.clip((q * vw).sum(1) + right[:, DIMENSION] - log_noise[target], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(q @ vn.T + (wrong[:, DIMENSION] - log_noise[noise]), -30, 30)))
-        dq += up[:, None] * vw + down @ vn
-        change(target, up[:, None] * q, up)
-        change(noise, down.T @ q, down.sum(0))
-    change(near, dq @ p.places[0].T, 0.0)
-    change(far, dq @ p.places[1].T, 0.0)
-    change(np.arange(n + c, len(p.rows)), np.concatenate([va.T @ dq, vb.T @ dq]), 0.0)
-    at, g = np.concatenate(rows), np.concatenate(values)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    g, ids = np.add.reduceat(g[order], starts, axis=0), at[starts]
-    times = np.diff(np.append(starts, len(at)))
-    times[-CONTEXT * DIMENSION :] = len(w)
-    used[ids] += times
-    squares[ids] += g * g
-    p.rows[ids] += RATE * g / np.sqrt(squares[ids])
+        up = logistic(log_noise[target] - right[:, DIMENSION] - np.einsum("ij,ij->i", q, vw))
+        down = q @ vn.T
+        down += wrong[:, DIMENSION] - log_noise[noise]
+        down = logistic(down)
+        dq += up[:, None] * vw - down @ vn
+        grads.append((up, -(down.T @ q), -down.sum(0)))
+
+    def change(at: np.ndarray, g: np.ndarray) -> None:
+        order = np.argsort(at.astype(np.uint16) if n + c < 1 << 16 else at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g, ids = np.add.reduceat(g[order], starts, axis=0), at[starts]
+        used[ids] += np.diff(np.append(starts, len(at)))
+        squares[ids] += g * g
+        p.rows[ids] += RATE * g / np.sqrt(squares[ids])
+
+    def with_noise(at: np.ndarray, g: np.ndarray, noise: np.ndarray, part: tuple) -> None:
+        change(np.concatenate([at, noise]), np.concatenate([g, np.hstack([part[1], part[2][:, None]])]))
+
+    # a token is a target, the context of the next one and of the one after that: one line for all three.
+    # Before the first token stand its own context; the last line is the end before texts, where that isn't the token two back
+    at = np.concatenate([far[:1], near[:1], w, [END]])
+    g = np.zeros((t + 3, DIMENSION + 1), np.float32)
+    g[2 : t + 2, :DIMENSION], g[2 : t + 2, DIMENSION] = grads[0][0][:, None] * q, grads[0][0]
+    g[1 : t + 1, :DIMENSION] += dq @ p.places[0].T
+    back = dq @ p.places[1].T
+    other = far != at[:t]
+    g[t + 2, :DIMENSION] = back[other].sum(0)
+    back[other] = 0
+    g[:t, :DIMENSION] += back
+    places = np.hstack([np.concatenate([va.T @ dq, vb.T @ dq]), np.zeros((CONTEXT * DIMENSION, 1), np.float32)])
+    with_noise(at, g, drawn[0], grads[0])
+    with_noise(n + p.bin_of[w], np.hstack([grads[1][0][:, None] * q, grads[1][0][:, None]]), drawn[1], grads[1])
+    lines = slice(n + c, len(p.rows))
+    used[lines] += t
+    squares[lines] += places * places
+    p.rows[lines] += RATE * places / np.sqrt(squares[lines])
 
 
 def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number: int) -> np.ndarray:
@@ -271,15 +293,14 @@ def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number
 
         def learn(held):
             w, near, far = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = rng.permutation(len(w))
-            for a in range(0, len(order), CHUNK):
-                t = order[a : a + CHUNK]
+            for a in rng.permutation(np.arange(0, len(w), CHUNK)):
+                t = slice(a, a + CHUNK)
                 drawn = [first + np.minimum(np.searchsorted(s, rng.random(NOISE) * s[-1], "right"), len(s) - 1) for first, s in zip((0, n), sums, strict=True)]
                 nce(p, squares, used, w[t], near[t], far[t], drawn, log_noise)
 
         held, size = [], 0
         for b in batches:
-            held.append(contexts(b.column(0).to_pylist(), "<i4")[:3])
+            held.append(tuple(x.astype(np.int32) for x in contexts(b.column(0).to_pylist(), "<i4")[:3]))
             size += len(held[-1][0])
             if size > HELD_TRAINING:
                 learn(held)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import log_bilinear
-from tessera.llm.log_bilinear import HASHED, SMOOTH, VOCABULARY, Parameters, contexts, hashed_class, score, vocabulary_of
+from tessera.llm.log_bilinear import HASHED, SMOOTH, VOCABULARY, Parameters, contexts, hashed_class, nce, score, vocabulary_of
 from tessera.llm.queries import LOWER, QUERIES, UPPER
 
 FOLD = str.maketrans(UPPER, LOWER)
@@ -60,9 +60,9 @@ def test_odd_rows(spark, odd, none):
 
 def test_two_levels():
     rng = np.random.default_rng(0)
-    p = Parameters(np.full(40, 1 / 40))  # one bin
+    p = Parameters(np.full(30, 1 / 30))  # one bin
     near, far, bias, z = p.table()
-    w, a, b = (rng.integers(0, 40, 200) for _ in range(3))
+    w, a, b = (rng.integers(0, 30, 200) for _ in range(3))
     assert np.abs(p.logs(w, a, b) - (near[a, w] + far[b, w] + bias[w] - z[b, a])).max() < 1e-4
     n = 3000
     p = Parameters(rng.dirichlet(np.ones(n)))
@@ -88,6 +88,35 @@ def test_hashed_classes(spark):
     assert abs(sum(n + SMOOTH for n in inside) + SMOOTH - (v.hashed[k] + SMOOTH * (v.hashed_types[k] + 1))) < 1e-9
 
 
+def test_a_step_against_its_definition():
+    """Gradients token by token, over texts that start within the block and before it."""
+    rng = np.random.default_rng(3)
+    n, dim = 80, log_bilinear.DIMENSION
+    w, near, far, _ = contexts([np.append(rng.integers(1, n, k), 0).astype("<i4").tobytes() for k in (5, 1, 0, 7)], "<i4")
+    w, near, far = w[2:], near[2:], far[2:]
+    p = Parameters(rng.dirichlet(np.ones(n)))
+    p.rows[:, :dim] = rng.normal(0, 0.5, (len(p.rows), dim))
+    old, bins = p.rows.astype(np.float64), len(p.bin_vectors)
+    places, lines = old[n + bins :, :dim].reshape(2, dim, dim), np.arange(dim)
+    drawn, log_noise = [rng.integers(0, n, 6), n + rng.integers(0, bins, 6)], np.log(6 * p.share)
+    grad, sigmoid = np.zeros_like(old), lambda x: 1 / (1 + np.exp(-x))
+    for x, a, b in zip(w, near, far, strict=True):
+        q, dq = old[a, :dim] @ places[0] + old[b, :dim] @ places[1], np.zeros(dim)
+        for target, noise in ((x, drawn[0]), (n + p.bin_of[x], drawn[1])):
+            for row, sign in [(target, 1), *((k, -1) for k in noise)]:
+                delta = old[row, :dim] @ q + old[row, dim] - log_noise[row]
+                up = sign * sigmoid(-sign * delta)
+                grad[row, :dim] += up * q
+                grad[row, dim] += up
+                dq += up * old[row, :dim]
+        for k, c in ((0, a), (1, b)):
+            grad[c, :dim] += places[k] @ dq
+            grad[n + bins + k * dim + lines, :dim] += np.outer(old[c, :dim], dq)
+    squares, used = np.ones_like(p.rows), np.zeros(len(p.rows))
+    nce(p, squares, used, w, near, far, drawn, log_noise.astype(np.float32))
+    assert np.abs(p.rows - (old + log_bilinear.RATE * grad / np.sqrt(1 + grad**2))).max() < 1e-4
+
+
 @pytest.mark.parametrize("share", (1 << 20, 1 << 4))  # words with vectors; hashed classes but for the most frequent
 def test_context_reaches_all_words(spark, monkeypatch, share):
     """1,600 frequent words; then 300 pairs of rarer ones, each of whose second words follows only its first."""
