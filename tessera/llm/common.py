@@ -76,6 +76,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Id and text of a row in one string, for finding rows again; copies of a text and rows without an id have many keys."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.xxhash64(F.col(text_col)).cast("string"))
+
+
 def keep_keys(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of `docs` whose key is in the first column of `kept`, one row a key. Each row of `docs` is shuffled once."""
     name, other = free_name(docs, "row_key"), free_name(docs, "kept_key")

@@ -244,8 +244,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """The rows of `docs` of which exactly one of each component stays, with all their columns; without words a row is a component.
 
     A row is found again by its doc_id and text together; rows that repeat both are one."""
-    key = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), h.cast("string"))
     able = near_groups(docs, width, percent, id_col, text_col).where("kept")  # one row a component, but for repeated ids
     first = able.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), "uid").alias("first"))
-    kept = first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key")).distinct()
-    return keep_keys(docs, key(F.col(id_col).cast("long"), row_hash(id_col, text_col)), kept)
+    kept = first.select(_key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key")).distinct()
+    return keep_keys(docs, _key(F.col(id_col).cast("long"), row_hash(id_col, text_col)), kept)
+
+
+def _key(doc_id: Column, text_hash: Column) -> Column:
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_hash.cast("string"))

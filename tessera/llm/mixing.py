@@ -2,12 +2,12 @@
 
 Slot i of the schedule takes the i-th golden-ratio point through the cumulative target shares and so
 picks a source; slots are ranked within their source, and the slot of rank r gets block r of the
-source's own stream: its documents, shuffled by a hash of the id, cut into blocks of equal token
+source's own stream: its documents, shuffled by a hash of id and text, cut into blocks of equal token
 counts. Past its last block a stream starts again. A source is served until its target is met
 exactly; where discrepancy leaves it a few slots short, they follow behind the last slot.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in
-order; equal ids stand next to each other in the stream and both count; a text longer than a block
+order; rows that repeat id and text stand next to each other in the stream and both count; a text longer than a block
 spans several; an empty table gives no rows. Of a document only id, text and source are read; other
 columns, whatever their names, come back with the document.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, save
+from tessera.llm.common import free_name, row_key, save
 
 #: Tokens in a block of the mix.
 BLOCK = 512
@@ -51,14 +51,14 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     return s.select("source", "source_size", "place", "weight", target.alias("target"))
 
 
-def source_streams(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds `start`: where a document's tokens begin in its source's shuffled stream."""
-    keyed = docs.withColumn("order_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def source_streams(docs: DataFrame) -> DataFrame:
+    """Adds to docs(source, size, key, row) `start`: where a document's tokens begin in its source's shuffled stream."""
+    keyed = docs.withColumn("order_key", F.md5("key"))
     keyed = keyed.withColumn("range", F.substring("order_key", 1, HEX_DIGITS))
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("source", "range").orderBy("order_key", id_col, "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "range").orderBy("order_key", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     joined = keyed.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
     return joined.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(own), F.lit(0))).drop("base", "range", "order_key", "r_source", "r_range")
 
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """(sized, pieces). sized: a row per document with size, source_size, target, place and start.
     pieces: what each slot takes of which document: slot, epoch, row, place, start, length."""
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size")).withColumn("row", F.monotonically_increasing_id())
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), row_key(id_col, text_col).alias("key")).withColumn("row", F.monotonically_increasing_id())
     sized = save(sized, "sized")
     targets = save(source_targets(sized, weights, share, most), "targets")
     named = targets.select(F.col("source").alias("t_source"), "source_size", "place", "target")
@@ -124,14 +124,15 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
     return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix draws its first word: 0 to 2 times. A text without words never comes.
 
-    Rows that share a doc_id share the decision: the larger number of draws.
+    Rows that repeat doc_id and text share the decision: the larger number of draws.
     """
-    placed, pieces = mix(docs, id_col=id_col, **options)
-    name, times, turn = (free_name(docs, x) for x in ("mix_id", "mix_times", "mix_turn"))
+    placed, pieces = mix(docs, id_col=id_col, text_col=text_col, **options)
+    name, own, times, turn = (free_name(docs, x) for x in ("mix_key", "row_key", "mix_times", "mix_turn"))
     drawn = pieces.where("start = 0").groupBy("row").agg(F.count("*").cast("int").alias(times))
-    drawn = placed.join(drawn, "row").groupBy(F.col("doc_id").alias(name)).agg(F.max(times).alias(times))
-    repeated = docs.join(drawn, docs[id_col].eqNullSafe(drawn[name])).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
-    return repeated.drop(name, times, turn)
+    drawn = placed.join(drawn, "row").groupBy(F.col("key").alias(name)).agg(F.max(times).alias(times))
+    keyed = docs.withColumn(own, row_key(id_col, text_col))
+    repeated = keyed.join(drawn, keyed[own] == drawn[name]).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
+    return repeated.drop(name, own, times, turn)
