@@ -150,22 +150,23 @@ def mutate(a: list[list[int]], gone: int, sizes: list[int], capacity: int, rng:
 def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], brood: int, rng: np.random.Generator) -> list[list[list[int]]]:
     """An epoch of an island; the best genome comes first. Stops early at the lower bound of bins."""
     bound = -(-sum(sizes) // capacity)
-    score = lambda p: fitness(p, sizes, capacity)
+    scored = lambda p: (fitness(p, sizes, capacity), p)
     if not population:
         population = [best_fit(list(range(len(sizes))), sizes, [], capacity)]
-    while len(population) < POPULATION and len(population[0]) > bound:
-        population.append(mutate(population[0], max(2, len(population[0]) // 4), sizes, capacity, rng))
-    population.sort(key=score, reverse=True)
+    held = [scored(p) for p in population]
+    while len(held) < POPULATION and len(held[0][1]) > bound:
+        held.append(scored(mutate(held[0][1], max(2, len(held[0][1]) // 4), sizes, capacity, rng)))
+    held.sort(key=lambda x: x[0], reverse=True)
     for _ in range(brood):
-        if len(population[0]) <= bound:
+        if len(held[0][1]) <= bound:
             break
-        a, b = rng.choice(len(population), 2, replace=False)
-        child = cross(population[a], population[b], sizes, capacity, rng)
-        child = mutate(child, max(2, len(child) // 20), sizes, capacity, rng)
-        if score(child) > score(population[-1]):
-            population[-1] = child
-            population.sort(key=score, reverse=True)
-    return population
+        a, b = rng.choice(len(held), 2, replace=False)
+        child = cross(held[a][1], held[b][1], sizes, capacity, rng)
+        child = scored(mutate(child, max(2, len(child) // 20), sizes, capacity, rng))
+        if child[0] > held[-1][0]:
+            held[-1] = child
+            held.sort(key=lambda x: x[0], reverse=True)
+    return [p for _, p in held]
 
 
 def _labels(bins: list[list[int]], n: int) -> np.ndarray:
