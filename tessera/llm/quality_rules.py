@@ -5,8 +5,9 @@ for each failed rule. Policies are named, versioned bit masks: applying one is a
 ablations (what a policy would keep without one of its rules) come from counts of masked bits.
 
 Edge cases: a null or empty text has no words, zero measurements and fails the base rule; ties and
-repeated rows are rows of their own; an empty table gives no rows and ablations over zero documents;
-of a document only its id, under its own name, and its text are read.
+repeated rows are rows of their own; a very long text is read whole; an empty table gives no rows and
+ablations over zero documents; of a document only its id and its text are read, so that other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -58,11 +59,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
     )
-    # windows of 3 words; a word holds no blank, so that a joined window stands for one triple
-    d = d.withColumn("windows", F.expr("case when n >= 3 then transform(sequence(0, n - 3), i -> concat(words[i], ' ', words[i + 1], ' ', words[i + 2])) else array() end")).drop("words")
-    d = d.withColumn("repeats", F.expr("size(array_distinct(windows)) < size(windows)"))
-    # equal windows stand together once sorted; a tab parts a window from its place and sorts all of one window side by side
-    d = d.withColumn("sorted", F.expr("case when repeats then sort_array(transform(windows, (x, i) -> concat(x, '\t', i))) else array() end")).drop("windows", "repeats")
+    # windows of 3 words by hash; the words of those alone whose hash comes again are compared
+    d = d.withColumn("windows", F.expr("case when n >= 3 then transform(sequence(0, n - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) else array() end"))
+    d = d.withColumn("hashes", F.expr("case when size(array_distinct(windows)) < size(windows) then sort_array(transform(windows, (h, i) -> struct(h, i))) else array() end")).drop("windows")
+    d = d.withColumn("again", F.expr("transform(filter(hashes, (x, k) -> (k > 0 and x.h = hashes[greatest(k - 1, 0)].h) or x.h = get(hashes, k + 1).h), x -> x.i)")).drop("hashes")
+    # a word holds no blank, so that a joined window stands for one triple; a tab parts it from its place and sorts all of one window side by side
+    d = d.withColumn("sorted", F.expr("sort_array(transform(again, i -> concat(words[i], ' ', words[i + 1], ' ', words[i + 2], '\t', i)))")).drop("words", "again")
     d = d.withColumn("keys", F.expr("transform(sorted, x -> substring_index(x, '\t', 1))"))
     d = d.withColumn("twice", F.expr("filter(transform(sorted, (x, k) -> case when (k > 0 and keys[k] = keys[greatest(k - 1, 0)]) or keys[k] = get(keys, k + 1) then int(substring_index(x, '\t', -1)) end), p -> p is not null)"))
     repeat = F.expr("size(array_distinct(flatten(transform(twice, p -> array(p, p + 1, p + 2)))))")
