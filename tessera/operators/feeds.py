@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import lexemes, parse_uuid, uuid7
 from tessera.operators.forum import _TOKENS
-from tessera.operators.retrieval import chunked, embed, sections, top_k_l2
+from tessera.operators.retrieval import CHUNKS, chunked, embed, sections, top_k_l2
 from tessera.registry import plain, query
 from tessera.sources.files import append, fresh_folder, is_seeded, markdown, truncate
 from tessera.streaming.presence import events_stream
@@ -100,8 +100,12 @@ def _expired(t) -> DataFrame:
 
 
 query("doc_prefix", "select cast(doc_id as varchar) as source, unnest(['[Title]', '[Title > Notes]']) as prefix from documents")(lambda t: sections(_markdown(t)).select("source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("prefix")))
-query("doc_metadata")(lambda t: chunked(t.documents, "doc_id", "text").select(F.struct(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("source"), "position").alias("metadata"), "chunk"))
-query("vec_embed")(lambda t: embed(t.documents, "doc_id", "text"))
+query("doc_metadata", CHUNKS + "select struct_pack(source := concat(id, '.md'), position := position) as metadata, substr(text, a + 1, z - a) as chunk from k where position >= 0")(lambda t: chunked(t.documents, "doc_id", "text").select(F.struct(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("source"), "position").alias("metadata"), "chunk"))
+query("vec_embed", """with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')) as word from documents),
+c as (select doc_id, cast(concat('0x', substr(md5(word), 1, 8)) as bigint) % 64 as cell, count(*) as n from w group by all), v as (select doc_id, sqrt(sum(n * n)) as norm from c group by doc_id)
+select d.doc_id, (select list(round(coalesce((select max(c.n) from c where c.doc_id = d.doc_id and c.cell = k.k), 0) / coalesce(v.norm, 1), 3) order by k.k) from (select unnest(range(64)) as k) k) as embedding from documents d left join v on v.doc_id = d.doc_id""")(
+    lambda t: embed(t.documents, "doc_id", "text").select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("embedding"))
+)
 _L2 = "round(list_distance(cast(c.embedding as double[]), cast(q.embedding as double[])), 4)"
 query("vec_topk", f"select c.id, {_L2} as distance from chunks c, (select embedding from chunks where id = 0) q order by {_L2}, c.id limit 4")(
     lambda t: top_k_l2(t.chunks, t.chunks.where("id = 0").select("embedding")).select("id", F.round("distance", 4).alias("distance"))
@@ -113,7 +117,11 @@ _ID = "concat(lpad(cast(event_id as varchar), 8, '0'), case when event_id % 3 =
 query("fn_parse_uuid", f"select event_id, case when regexp_full_match({_ID}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') then lower({_ID}) end as id from events")(
     lambda t: t.events.select("event_id", parse_uuid(F.expr(_ID.replace("varchar", "string"))).alias("id"))
 )
-query("fn_uuid7")(lambda t: t.rooms.select("room_id", uuid7(F.col("created_at_ms")).alias("id")))
+query("fn_uuid7", "select room_id, created_at_ms as at_ms, '7' as version, true as well_formed from rooms")(
+    lambda t: t.rooms.select("room_id", uuid7(F.col("created_at_ms")).alias("id")).select(
+        "room_id", F.conv(F.concat(F.substring("id", 1, 8), F.substring("id", 10, 4)), 16, 10).cast("bigint").alias("at_ms"), F.substring("id", 15, 1).alias("version"), F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("well_formed")
+    )
+)
 query("fn_json_root_check", "select id from (select id, case when id % 2 = 0 then '{\"type\":\"doc\"}' when id % 3 = 0 then '{\"type\":\"p\"}' else 'x' end as body from posts) where case when json_valid(body) then json_extract_string(body, '$.type') end = 'doc'")(
     lambda t: t.posts.withColumn("body", F.expr("case when id % 2 = 0 then '{\"type\":\"doc\"}' when id % 3 = 0 then '{\"type\":\"p\"}' else 'x' end")).where("try_variant_get(try_parse_json(body), '$.type', 'string') = 'doc'").select("id")
 )

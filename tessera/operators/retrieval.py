@@ -33,8 +33,9 @@ def top_k_l2(chunks: DataFrame, question: DataFrame, k: int = 4) -> DataFrame:
 def embed(rows: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
     """id and embedding: a vector of length 1 from hashed lower-case words, without a trained model; zeros without words. Ids are
     distinct. Words are counted by cell before anything is shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: w != "")
-    cells = rows.select(id_col, F.explode_outer(words).alias("word")).groupBy(id_col, F.pmod(F.crc32("word"), F.lit(size)).cast("int").alias("cell")).agg(F.count("word").alias("n"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cell = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % size
+    cells = rows.select(id_col, F.explode_outer(words).alias("word")).groupBy(id_col, cell.cast("int").alias("cell")).agg(F.count("word").alias("n"))
     counts = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("counts"))  # at most `size` entries
     norm = F.sqrt(F.aggregate(F.map_values("counts"), F.lit(0.0), lambda s, n: s + n * n))
     at = lambda k: F.coalesce(F.try_element_at("counts", k), F.lit(0)) / F.greatest(norm, F.lit(1.0))
@@ -171,7 +172,15 @@ h as (select *, cast(sum(case when level > 0 then 1 else 0 end) over s as bigint
 p as (select source, section, max(h1) as h1, max(h2) as h2, max(h3) as h3, string_agg(row, chr(10) order by line) as body from h group by source, section),
 q as (select source, section, body, array_to_string(list_filter([h1, h2, h3], lambda x: coalesce(x, '') <> ''), ' > ') as path from p where trim(body) <> '')
 select source, section, path, case when path <> '' then concat('[', path, ']', chr(10)) else '' end || body as text from q""")(lambda t: sections(t.documents.select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("# Title\n"), "text", F.lit("\n## Notes\nend")).alias("text"))))
-query("doc_chunk")(lambda t: chunked(t.documents, "doc_id", "text"))
+#: Chunks of 1000 with an overlap of 100, one piece a recursion.
+CHUNKS = """with recursive k as (
+select doc_id as id, -1 as position, cast(0 as bigint) as a, cast(0 as bigint) as z, cast(0 as bigint) as following, text, length(text) as size from documents where text is not null
+union all select id, position + 1, a, z, case when z = size then null else greatest(a + 1, case when instr(substr(text, z - 99, 100), ' ') between 1 and 99 then z - 100 + instr(substr(text, z - 99, 100), ' ') else z - 100 end) end, text, size
+from (select *, case when most = size then size when regexp_matches(half, '\\n\\n') then a + 502 + length(regexp_extract(half, '(?s)^(.*)\\n\\n', 1)) when regexp_matches(half, '\\n') then a + 501 + length(regexp_extract(half, '(?s)^(.*)\\n', 1))
+    when instr(half, ' ') > 0 then a + 501 + length(regexp_extract(half, '(?s)^(.*) ', 1)) else most end as z
+  from (select id, position, following as a, least(following + 1000, size) as most, substr(text, following + 501, least(following + 1000, size) - following - 500) as half, text, size from k where following < size)))
+"""
+query("doc_chunk", CHUNKS + "select id, position, substr(text, a + 1, z - a) as chunk from k where position >= 0")(lambda t: chunked(t.documents, "doc_id", "text"))
 query("json_tree_images", "select id, ['img' || id] as images from users")(
     lambda t: t.users.select("id", tree_images(F.format_string('{"type":"doc","content":[{"type":"p","content":[{"type":"image","attrs":{"data-public-id":"img%s"}}]},{"type":"image","attrs":{"data-public-id":" "}}]}', "id")).alias("images"))
 )

@@ -75,7 +75,7 @@ select room_id, event_id, at_ms, case action when 'join' then room_id * 10 + 2 w
   event_type <> 'error' as online, event_id % 19 = 7 as busy, cast(1 + room_id % 3 as int) as time_minutes, cast(room_id % 4 as int) as increment_seconds, room_id % 9 = 0 as is_private, room_id % 5 = 0 as spectators_locked
 from (select event_id, event_type, cast(floor(event_id / 300) as bigint) as room_id, event_id % 15 as step,
     1718029381000 + event_id * 4000 + event_id * 7919 % 3000 as at_ms,
-    case event_id % 15 when 0 then 'create' when 1 then 'join' when 2 then 'ready' when 3 then 'ready' when 9 then 'offer_draw' when 10 then case event_id % 3 when 0 then 'accept_draw' when 1 then 'decline_draw' else 'resign' end
+    case event_id % 15 when 0 then 'create' when 1 then 'join' when 2 then 'ready' when 3 then 'ready' when 9 then 'offer_draw' when 10 then case cast(floor(event_id / 15) as bigint) % 3 when 0 then 'accept_draw' when 1 then 'decline_draw' else 'resign' end
       when 8 then 'drop' when 11 then 'watch' when 12 then 'switch' when 13 then 'leave' when 14 then case when event_id % 4 = 0 then 'delete' else 'leave' end else 'move' end as action from events) x""",
     "presence_log": "select user_id, ts, case when event_type in ('view', 'click') then 1 else -1 end as step, event_type, event_id from events",
 }
