@@ -46,4 +46,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b &
 with n as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(t) as text_sha256
 from n window g as (partition by t)""",
+    "op10_minhash_near_dedup": rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) > 1 then list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])) else ws end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on b.g = a.g and b.doc_id > a.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+ways as (select x, y from e union all select y, x from e),
+r as (select doc_id as a, doc_id as b from documents union select r.a, ways.y from r join ways on ways.x = r.b),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)""",
 }

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 
 from tessera.llm.minhash import near_dedup, near_groups, signature
-from tessera.llm.queries import LOWER, QUERIES, UPPER
+from tessera.llm.queries import LOWER, ORACLE, QUERIES, UPPER
 
 FOLD = str.maketrans(UPPER, LOWER)
 
@@ -40,6 +41,15 @@ def test_against_brute_force(spark, sf):
     assert got == brute(rows)
 
 
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    q = db.execute(ORACLE["op10_minhash_near_dedup"])
+    names = [d[0] for d in q.description]
+    assert sorted(q.fetchall()) == sorted(tuple(r[n] for n in names) for r in QUERIES["op10_minhash_near_dedup"](spark, sf).collect())
+
+
 def test_chains_and_families(spark):
     """Neighbours of a chain are similar, its ends are not; families share a common passage."""
     rng = np.random.default_rng(3)
