@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.llm.common import LOWER, UPPER, documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.kneser_ney import classify
-from tessera.llm.licenses import licenses
+from tessera.llm.license_rules import rules
+from tessera.llm.licenses import BASE, licenses
 from tessera.llm.log_bilinear import score
 from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
@@ -27,7 +30,34 @@ QUERIES = {
     "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "root"),
 }
 
+
+
+def license_sql() -> str:
+    """The license scan for another engine: its rules as a table, containment as a test on all pairs of a document's spans.
+
+    Between words stand two blanks there, so that matches that follow each other need no look-ahead."""
+    wide = lambda p: re.sub(r" \?", "\0", p).replace(" ", "  ").replace("\0", "(?:  )?")
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({turn}, {priority}, {text(label)}, {text(keyword.replace(' ', '  '))}, {text(wide(pattern))}, {confidence})" for turn, (priority, label, keyword, pattern, confidence) in enumerate(rules()))
+    phrases = ", ".join(f"({text(phrase)}, {text(label)}, {len(phrase.split())})" for phrase, label in BASE.items())
+    return rf"""
+with r(turn, priority, label, keyword, pattern, confidence) as (values {table}), f(phrase, label, k) as (values {phrases}),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as ws from documents),
+d as (select doc_id, ws, len(ws) as n, case when len(ws) > 0 then concat(' ', array_to_string(ws, '  '), ' ') else '' end as padded from w),
+b as (select doc_id, i - 1 as place, label from (select doc_id, ws, unnest(range(1, n + 1)) as i from d) x join f on array_to_string(ws[i : i + k - 1], ' ') = phrase),
+h as (select doc_id, padded, r.* from d join r on case when contains(padded, keyword) then regexp_matches(padded, concat(' (?:', pattern, ') ')) else false end),
+m as (select *, string_split(trim(regexp_replace(padded, concat(' (', pattern, ') '), concat(' ', chr(1), '\1 '), 'g')), '  ') as marked, regexp_extract_all(padded, concat(' (', pattern, ') '), 1) as found from h),
+s as (select doc_id, turn, priority, label, confidence, unnest(list_filter(range(len(marked)), lambda i: starts_with(marked[i + 1], chr(1)))) as a, unnest(list_transform(found, lambda x: len(string_split(x, '  ')))) as k from m),
+c as (select * from s where not exists (select 1 from s o where o.doc_id = s.doc_id and o.priority >= s.priority and o.a + o.k >= s.a + s.k and (o.a, -(o.a + o.k), -o.priority, o.turn) < (s.a, -(s.a + s.k), -s.priority, s.turn))),
+e as (select doc_id, max(confidence) as best, count(*) as n_detections, list(label) as labels from c group by doc_id),
+g as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(label) as labels from b group by doc_id)
+select d.doc_id, n as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, array_to_string(list_sort(list_distinct(coalesce(g.labels, []))), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(g.labels, []), coalesce(e.labels, [])))), ',') as labels, cast(greatest(coalesce(best, 0), case when n_base > 0 then 0.8 else 0 end) as double) as score, coalesce(n_detections, 0) as n_detections
+from d left join g using (doc_id) left join e using (doc_id)"""
+
+
 ORACLE = {
+    "op7_license_rules": license_sql(),
     "op2_quality_rules": r"""
 with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 l as (select doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),

@@ -42,6 +42,20 @@ def test_rules_oracle(spark):
     assert sorted(q.fetchall()) == sorted(tuple(r[n] for n in names) for r in QUERIES["op2_quality_rules"](spark, sf).collect())
 
 
+def test_license_oracle(spark, tmp_path):
+    """On the table, and on a text for each rule, some with two matches side by side."""
+    made = [t for _, _, _, p, _ in rules() for t in examples(re._parser.parse(p))[:2]]
+    docs = spark.createDataFrame([(i, f"Word {t}; {t.upper()} {made[i - 1]} end") for i, t in enumerate(made)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/made")
+    for docs, files in ((docs, f"{tmp_path}/made/*.parquet"), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01/documents.parquet")):
+        db = duckdb.connect()
+        db.execute(f"create view documents as select * from '{files}'")
+        q = db.execute(ORACLE["op7_license_rules"])
+        names = [d[0] for d in q.description]
+        key = lambda r: r[0]
+        assert sorted(q.fetchall(), key=key) == sorted((tuple(r[n] for n in names) for r in licenses(docs).collect()), key=key)
+
+
 def test_ablations(spark, sf):
     rows = ledger(spark.read.parquet(f"{sf}/documents.parquet"))
     bits = [r.failures & POLICIES[CURRENT] for r in rows.collect()]
