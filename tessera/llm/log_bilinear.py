@@ -1,7 +1,7 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
 Counting covers the whole training corpus: token counts are summed in Spark. A word counted at least
-LEAST times with at least one SHARE-th of all tokens has a vector of its own, and the VOCABULARY most
+LEAST times with at least one SHARE-th of all tokens has a vector of its own, and about VOCABULARY most
 frequent ones in any case: at most SHARE words, whatever the corpus. All other words fall by hash
 into HASHED classes, each with a vector, so that every token reaches the model as target and as
 context. The model predicts a class from the CONTEXT classes before it: their vectors, turned by a
@@ -14,8 +14,9 @@ training token once. As with any such averaging, the parameters depend on how do
 
 Bins and bins' classes are few, so that both normalisers are exact and token probabilities sum to one.
 A word of a hashed class has the class's probability times its smoothed share of the class, with one
-share for all words that training never saw. The vocabulary and the parameters (100 bytes a class)
-travel with the tasks; all other words' counts, which grow with the corpus, are joined by word.
+share for all words that training never saw. The parameters (84 bytes a class) and the counts of words
+with one KNOWN-th of all tokens, so at most KNOWN words, travel with the tasks; all other words' counts,
+which grow with the corpus, are joined by word.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id counts as held out; a very
 long text is scored whole; repeated rows are rows of their own; an empty table gives no rows, and
@@ -36,6 +37,8 @@ from tessera.llm.words import arrow_map, split_words
 
 VOCABULARY = 1024
 LEAST, SHARE, HASHED = 5, 1 << 17, 1 << 12
+#: Words with at least one KNOWN-th of all tokens have their counts at hand in every task.
+KNOWN = 1 << 20
 #: A bin has BIN_LEAST classes, or its first class's number divided by BIN_GROWTH.
 BIN_LEAST, BIN_GROWTH = 32, 32
 DIMENSION = 20
@@ -81,17 +84,22 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The words with vectors, most frequent first, and their counts; of each hashed class the count of its words and how many there are."""
+    """Frequent words, most frequent first, and their counts; the first `own` have vectors. Of each hashed class the count of its words and how many there are."""
 
-    def __init__(self, words: pa.Array, counts: np.ndarray, hashed: np.ndarray, hashed_types: np.ndarray) -> None:
-        self.words, self.counts = words.cast(pa.large_string()), counts
+    def __init__(self, words: pa.Array, counts: np.ndarray, own: int, hashed: np.ndarray, hashed_types: np.ndarray) -> None:
+        self.words, self.counts, self.own = words.cast(pa.large_string()), counts, own
         self.hashed, self.hashed_types = hashed, hashed_types
 
     def unigram(self, texts: int) -> np.ndarray:
-        """Shares of the classes: the end, words, hashed classes."""
-        n = np.concatenate([[texts], self.counts, self.hashed]) + 0.5
+        """Shares of the classes: the end, words with vectors, hashed classes."""
+        n = np.concatenate([[texts], self.counts[: self.own], self.hashed]) + 0.5
         return n / n.sum()
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its class and log10 of its smoothed count; of each hashed class log10 of its smoothed size."""
+        classes = np.concatenate([np.arange(1, self.own + 1), 1 + self.own + hashed_class(self.words[self.own :])])
+        return classes, np.log10(self.counts + SMOOTH), np.log10(self.hashed + SMOOTH * (self.hashed_types + 1))
+
 
 def hashed_class(words: pa.Array) -> np.ndarray:
     """As pmod(xxhash64(word), HASHED) in Spark."""
@@ -100,25 +108,23 @@ def hashed_class(words: pa.Array) -> np.ndarray:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known and logs of the vocabulary, log_hashed (of hashed classes' sizes), classes (32-bit, with the end), rare words and how often each."""
+    """uid, doc_id, held_out, n_tokens, n_known and logs of the vocabulary, log_hashed (of hashed classes' sizes, less the known
+    counts in them), classes (32-bit, with the end), rare words and how often each."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_all", pa.float64()), ("log_hashed", pa.float64()), ("classes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
-    log_c = np.log10(vocabulary.counts + SMOOTH)
-    log_h = np.log10(vocabulary.hashed + SMOOTH * (vocabulary.hashed_types + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, log_c, log_h))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.own, *vocabulary.tables()))
 
     def run(b: pa.RecordBatch, row: int) -> pa.RecordBatch:
-        words, log_c, log_h = shared.value
+        words, own, classes, log_c, log_h = shared.value
         flat, n = split_words(b.column(1))
         d = flat.dictionary_encode()
         size = max(1, len(d.dictionary))
         found = pc.index_in(d.dictionary, words)
         known = np.asarray(found.is_valid())
-        of_word = np.asarray(pc.fill_null(found, 0), np.int64) + 1
-        of_word[~known] = 1 + len(words) + hashed_class(d.dictionary.filter(pa.array(~known)))
-        log_word = np.zeros(len(of_word))
-        log_word[known] = log_c[of_word[known] - 1]
-        log_class = np.zeros(len(of_word))
-        log_class[~known] = log_h[of_word[~known] - 1 - len(words)]
+        place = np.asarray(pc.fill_null(found, 0), np.int64)
+        of_word, log_word = np.zeros(len(known), np.int64), np.zeros(len(known))
+        of_word[known], log_word[known] = classes[place[known]], log_c[place[known]]
+        of_word[~known] = 1 + own + hashed_class(d.dictionary.filter(pa.array(~known)))
+        log_class = np.where(of_word > own, log_h[np.maximum(of_word - 1 - own, 0)] - log_word, 0.0)
         ids = np.asarray(d.indices, np.int64)
         owner = np.repeat(np.arange(len(b)), n)
         sums = [np.bincount(owner, w[ids], len(b)) for w in (known, log_word, log_class)]
@@ -198,12 +204,14 @@ class Parameters:
 
 def normaliser(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log of the sum of exp(q . row) over the rows."""
-    x = q @ rows.T
-    top = np.zeros(len(x), np.float32)
-    if np.abs(x).max(initial=0) > 60:  # where exp could leave its range
-        top = x.max(1)
-        x -= top[:, None]
-    return np.log(np.exp(x, out=x) @ np.ones(len(rows), np.float32)) + top
+    x, ones = q @ rows.T, np.ones(len(rows), np.float32)
+    if x.max(initial=0) < 60:
+        z = np.exp(x) @ ones
+        if z.min(initial=1) > 1e-20:
+            return np.log(z)
+    top = x.max(1)  # where exp leaves its range
+    x -= top[:, None]
+    return np.log(np.exp(x, out=x) @ ones) + top
 
 
 def contexts(blobs: list[bytes], kind: str = "<i2") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -338,19 +346,20 @@ def train_round(coded: DataFrame, start: np.ndarray, unigram: np.ndarray, number
 
 def vocabulary_of(counts: DataFrame, total: int) -> Vocabulary:
     """From counts(word, n), whose sum is `total`."""
-    own = F.col("n") >= max(LEAST, -(-total // SHARE))
-    top = counts.where(own).toArrow()
+    own = max(LEAST, -(-total // SHARE))
+    top = counts.where(F.col("n") >= max(LEAST, -(-total // KNOWN))).toArrow()
     if len(top) < VOCABULARY - 1:
         top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 1).toArrow()
     top = top.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     words, named = top.column(0).combine_chunks() if len(top) else pa.array([], pa.string()), np.asarray(top.column(1), np.float64)
+    vectors = min(len(named), max(VOCABULARY - 1, int((named >= own).sum())))
     # what is left of each hashed class without the words that have vectors
     by_class = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).agg(F.sum("n"), F.count("*")).toArrow()
     hashed, types = np.zeros(HASHED), np.zeros(HASHED)
     at = np.asarray(by_class.column(0), np.int64)
     hashed[at], types[at] = np.asarray(by_class.column(1), np.float64), np.asarray(by_class.column(2), np.float64)
-    mine = hashed_class(words)
-    return Vocabulary(words, named, hashed - np.bincount(mine, named, HASHED), types - np.bincount(mine, minlength=HASHED))
+    mine = hashed_class(words[:vectors])
+    return Vocabulary(words, named, vectors, hashed - np.bincount(mine, named[:vectors], HASHED), types - np.bincount(mine, minlength=HASHED))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,7 +77,7 @@ def test_hashed_classes(spark):
     of_spark = {r.word: r.k for r in rows.select("word", F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).collect()}
     assert hashed_class(pa.array(words)).tolist() == [of_spark[w] for w in words]
     v = vocabulary_of(rows, 1 << 20)
-    assert sorted(v.words.to_pylist()) == sorted(words[:2000])
+    assert sorted(v.words.to_pylist()) == sorted(words[:2000]) and v.own == 2000
     want = collections.Counter()
     for r in rows.where("n < 5").collect():
         want[of_spark[r.word]] += r.n
@@ -117,6 +117,20 @@ def test_a_step_against_its_definition():
     assert np.abs(p.rows - (old + log_bilinear.RATE * grad / np.sqrt(1 + grad**2))).max() < 1e-4
 
 
+def test_known_words_without_vectors_score_as_joined_ones(spark, monkeypatch):
+    """Whether a word's count is at hand or joined changes no score."""
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in (rng.pareto(0.5, 60) * 3).astype(int) % 4000)) for i in range(300)], "doc_id long, text string").repartition(1)
+    monkeypatch.setattr(log_bilinear, "VOCABULARY", 64)
+    monkeypatch.setattr(log_bilinear, "SHARE", 1 << 8)
+    monkeypatch.setattr(log_bilinear, "LEAST", 1)
+    got = []
+    for known in (1 << 8, 1 << 20):
+        monkeypatch.setattr(log_bilinear, "KNOWN", known)
+        got.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in score(docs).collect()})
+    assert all(abs(a - b) < 1e-4 * max(1, abs(a)) for i in got[0] for a, b in zip(got[0][i], got[1][i], strict=True))
+
+
 @pytest.mark.parametrize("share", (1 << 20, 1 << 4))  # words with vectors; hashed classes but for the most frequent
 def test_context_reaches_all_words(spark, monkeypatch, share):
     """1,600 frequent words; then 300 pairs of rarer ones, each of whose second words follows only its first."""
