@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written b
 reads it. Toxic documents go, then exact copies, then all but one of each group of near copies (five
 words, similarity 0.8); the mix repeats or leaves out documents until the sources' weights are met;
 packing turns what is left into sequences. SQL can't express the field, the hash bands, the schedule
-and the genetic algorithm: tests hold the first three stages' rows against brute force, and the mix
-and the packing against their laws (targets, ids, lengths).
+and the genetic algorithm: tests hold the first stage against the scores, both kinds of copies against
+brute force, and the mix and the packing against their laws (draws, ids, lengths).
 
 Edge cases, in any stage: null and empty texts are documents like others until the mix, which takes
 none of their words; rows that repeat doc_id and text become one; rows that share a doc_id alone are

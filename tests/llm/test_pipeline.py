@@ -5,6 +5,7 @@ import collections
 import corpus_pipeline
 from tessera.llm.common import documents, save, saved
 from tessera.llm.queries import LOWER, UPPER
+from tessera.llm.toxicity import toxicity
 from test_minhash import brute
 
 FOLD = str.maketrans(UPPER, LOWER)
@@ -20,6 +21,9 @@ def test_stages_against_brute_force(spark, sf):
         docs = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}")
         seen[name] = (before.collect(), docs.collect())
         assert name == "packing" or docs.columns == columns
+    rows, left = seen["toxicity"]
+    toxic = {r.doc_id for r in toxicity(documents(spark, sf), documents(spark, sf, "labels")).where("predicted = 1").collect()}
+    assert sorted(r.doc_id for r in left) == sorted(r.doc_id for r in rows if r.doc_id not in toxic)
     rows, left = seen["exact_dedup"]
     best = collections.defaultdict(int)
     for r in rows:

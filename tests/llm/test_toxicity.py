@@ -44,6 +44,13 @@ def test_held_out_accuracy(spark):
     assert sum(p for p, t in held if t) >= 0.6 * sum(t for _, t in held)
 
 
+def test_the_stage_drops_what_the_scores_reject(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rejected = {r.doc_id for r in toxicity(docs, labels).where("predicted = 1").collect()}
+    left = {r.doc_id for r in drop_toxic(docs, labels).collect()}
+    assert rejected and not rejected & left and len(rejected) + len(left) == docs.count()
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, toxic int")
     assert toxicity(odd, labels).count() == 9 and toxicity(none, labels).count() == 0
