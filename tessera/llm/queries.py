@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from tessera.llm.common import LOWER, UPPER, documents
+from tessera.llm.divergence import divergence
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.kneser_ney import classify
 from tessera.llm.license_rules import rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
     "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "root"),
+    "op12_source_divergence": lambda spark, sf: divergence(documents(spark, sf)),
 }
 
 
@@ -86,4 +88,19 @@ ways as (select x, y from e union all select y, x from e),
 r as (select doc_id as a, doc_id as b from documents union select r.a, ways.y from r join ways on ways.x = r.b),
 m as (select a as doc_id, min(b) as component_id from r group by a)
 select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)""",
+    "op12_source_divergence": rf"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{80}}-\x{{10FFFF}}]+') as ts from documents),
+x as (select i, lang, source, unnest(ts) as t from d),
+k as (select lang, t from x group by all having count(distinct i) >= 3),
+g as (select distinct lang, source from d),
+c as (select lang, source, t, count(*) as n from x join k using (lang, t) group by all),
+f as (select g.lang, g.source, k.t, coalesce(c.n, 0) as n from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.t = k.t),
+p as (select *, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over s + count(*) over s) as p from f window s as (partition by lang, source)),
+h as (select lang, t, sum(n) as n from f group by all),
+q as (select lang, t, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over s + count(*) over s) as q from h window s as (partition by lang)),
+v as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+w as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join v on v.lang = a.lang and v.source = a.source and v.item = b.source
+  union all select lang, source, 'term', t, (p - q) * (p - q) // q from p join q using (lang, t) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from w)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 200""",
 }

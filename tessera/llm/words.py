@@ -72,3 +72,51 @@ def arrow_map(df, function: Callable[[pa.RecordBatch, int], pa.Table | pa.Record
                 yield from pa.table(out).cast(schema).to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, ddl)
+
+
+def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
+    """For each byte whether it lies outside all the ranges, both ends included."""
+    out = np.ones(256, bool)
+    for a, z in ranges:
+        out[a : z + 1] = False
+    return out
+
+
+def byte_words(column: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the bytes `inside`, A-Z in lower case: the words, one after another; the text of each; where each starts; and all bytes.
+
+    Every byte from 0x80 on must be inside, so that runs of bytes are runs of characters."""
+    column = texts(column).cast(pa.large_binary())
+    if not len(column):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    _, edges, data = column.buffers()
+    edges = np.frombuffer(edges, np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    data, within = lower[data], inside[data]
+    begins, ends = within.copy(), within.copy()
+    begins[1:] &= ~within[:-1]
+    ends[:-1] &= ~within[1:]
+    full = np.diff(edges) > 0
+    first, last = edges[:-1][full], edges[1:][full] - 1
+    begins[first], ends[last] = within[first], within[last]
+    at = np.flatnonzero(begins)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - at)])
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[within])])
+    return flat, np.searchsorted(edges, at, "right") - 1, at, data
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` bytes of text, from smaller or larger ones; one longer text still comes whole."""
+    held, size = [], 0
+    for b in by_bytes(batches, column, most):
+        here = b.column(column).nbytes
+        if held and size + here > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += here
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
