@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from tessera.llm.collocations import collocations
 from tessera.llm.common import LOWER, UPPER, documents
 from tessera.llm.divergence import divergence
 from tessera.llm.exact_dedup import exact_groups
@@ -14,6 +15,7 @@ from tessera.llm.log_bilinear import score
 from tessera.llm.minhash import near_groups
 from tessera.llm.mixing import mix_totals
 from tessera.llm.packing import pack
+from tessera.llm.personal import personal
 from tessera.llm.quality_rules import quality
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.toxicity import toxicity
@@ -29,7 +31,9 @@ QUERIES = {
     "op8_source_mix": lambda spark, sf: mix_totals(documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxicity(documents(spark, sf), documents(spark, sf, "labels")).drop("spans"),
     "op10_minhash_near_dedup": lambda spark, sf: near_groups(documents(spark, sf)).drop("uid", "text_hash", "root"),
+    "op11_pivot_collocations": lambda spark, sf: collocations(documents(spark, sf)),
     "op12_source_divergence": lambda spark, sf: divergence(documents(spark, sf)),
+    "op13_bilstm_crf_pii": lambda spark, sf: personal(documents(spark, sf)),
 }
 
 
@@ -88,6 +92,23 @@ ways as (select x, y from e union all select y, x from e),
 r as (select doc_id as a, doc_id as b from documents union select r.a, ways.y from r join ways on ways.x = r.b),
 m as (select a as doc_id, min(b) as component_id from r group by a)
 select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)""",
+    "op11_pivot_collocations": rf"""
+with p as (select row_number() over () as i, coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select row_number() over () as i, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (select lang, k, array_to_string(ws[j : j + k - 1], ' ') as phrase, array_to_string(ws[j : j], ' ') as h1, array_to_string(ws[j + 1 : j + k - 1], ' ') as t1, array_to_string(ws[j : j + 1], ' ') as h2, array_to_string(ws[j + k - 1 : j + k - 1], ' ') as t2
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as j from w, (values (1), (2), (3)) v(k) where len(ws) >= k) x),
+f as (select lang, k, phrase, any_value(h1) as h1, any_value(t1) as t1, any_value(h2) as h2, any_value(t2) as t2, count(*) as a from g group by lang, k, phrase),
+n as (select lang, sum(a) as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and a >= 10),
+x as (select c.lang, c.k, c.phrase, c.a, f1.a as l1, r1.a as r1, f2.a as l2, r2.a as r2 from c
+  join f f1 on f1.lang = c.lang and f1.k = 1 and f1.phrase = c.h1 join f r1 on r1.lang = c.lang and r1.k = c.k - 1 and r1.phrase = c.t1
+  left join f f2 on c.k = 3 and f2.lang = c.lang and f2.k = 2 and f2.phrase = c.h2 left join f r2 on c.k = 3 and r2.lang = c.lang and r2.k = 1 and r2.phrase = c.t2),
+y as (select *, (1000000::hugeint * a * a) // (l1::hugeint * r1) as s1, (1000000::hugeint * a * a) // (l2::hugeint * r2) as s2 from x),
+o as (select lang, part, max(a) as a from (select lang, unnest([h2, t1]) as part, a from c where k = 3) group by all),
+z as (select y.lang, y.phrase, y.a, case when s2 < s1 then l2 else l1 end as l, case when s2 < s1 then r2 else r1 end as r, case when s2 < s1 then s2 else s1 end as score
+  from y left join o on y.k = 2 and o.lang = y.lang and o.part = y.phrase where o.a is null or 100 * o.a < 50 * y.a),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select q.lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from q join n using (lang) where rank <= 2000""",
     "op12_source_divergence": rf"""
 with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{80}}-\x{{10FFFF}}]+') as ts from documents),
 x as (select i, lang, source, unnest(ts) as t from d),
