@@ -32,8 +32,8 @@ from tessera.llm.common import save, small_batches
 from tessera.llm.words import byte_table, byte_words, gathered
 
 IN_TERM = byte_table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-#: A language's chunks are dealt to one audit for each so many cells of all of them.
-CELLS = 1 << 20
+#: Chunks are dealt to one audit a language for each so many cells of all of them.
+CELLS = AUDITED = 1 << 20
 #: Cells of sorted terms that a task holds before it cuts chunks.
 HELD = 1 << 18
 LEAST_DOCS, TOP = 3, 200
@@ -186,7 +186,7 @@ def audited(chunks: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = chunks.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
     whole = groups.join(totals, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("all")).join(sizes, "lang")
     cells = chunks.agg(F.sum(F.size("terms") * F.size("sources").cast("long"))).first()[0] or 0
-    chunks = chunks.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(-(-cells // CELLS) or 1)))  # so that no task gets a whole language
+    chunks = chunks.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(-(-cells // AUDITED) or 1)))  # so that no task gets a whole language
     of_block = chunks.select("lang", "block").distinct().join(whole, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]):

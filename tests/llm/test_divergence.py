@@ -20,8 +20,9 @@ def brute(docs):
         counts = {s: Counter() for s, _ in mine}
         for s, c in mine:
             counts[s].update({t: n for t, n in c.items() if df[t] >= 3})
-        p = lambda c: {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept}
-        all_p, ps = p(sum(counts.values(), Counter())), {s: p(c) for s, c in counts.items()}
+        p = lambda c, total: {t: 1 + 10**9 * (c[t] + 1) // (total + len(kept)) for t in kept}
+        every = sum(counts.values(), Counter())
+        all_p, ps = p(every, every.total()), {s: p(c, c.total()) for s, c in counts.items()}
         for s in counts:
             pairs = [(sum((ps[s][t] - ps[o][t]) ** 2 // ps[o][t] for t in kept), o) for o in counts if o != s]
             terms = [((ps[s][t] - all_p[t]) ** 2 // all_p[t], t) for t in kept if counts[s][t] and ps[s][t] > all_p[t]]
@@ -44,6 +45,7 @@ def test_small_table_in_small_chunks(spark, monkeypatch):
     assert len(check(spark, docs)) > 1000
     monkeypatch.setattr(dv, "CELLS", 64)
     monkeypatch.setattr(dv, "HELD", 50)
+    monkeypatch.setattr(dv, "AUDITED", 1 << 15)
     check(spark, docs)
 
 
