@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,10 @@ from tessera.llm.words import arrow_map, texts
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_WINDOWS, CLEAN = 2000, 20_000, 3000, 0.3
-WINDOW, STRIDE, HIDDEN, BATCH, EPOCHS = 96, 48, 24, 128, 7
+WINDOW, STRIDE, HIDDEN, BATCH, EPOCHS = 96, 48, 24, 128, 9
 #: Windows decoded at once.
 DECODED = 512
-SURE = 0.8
+SURE = 0.6
 TAGS = 1 + 2 * len(KINDS)
 PAD, BREAK, CONTROL, WIDE, SYMBOLS = 0, 1, 2, 3, 99
 
@@ -349,8 +350,8 @@ def sound(kind: int, span: str) -> bool:
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", span)) and _parts(span)
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15
+        return bool(re.fullmatch(r"[0-9 .-]+", span)) and 13 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"[0-9 ().+/-]+", span)) and 9 <= len(digits) <= 15
 
 
 def window_spans(tags: np.ndarray, surety: np.ndarray, at: int, n: int, length: int) -> Iterator[list]:
@@ -370,14 +371,17 @@ def window_spans(tags: np.ndarray, surety: np.ndarray, at: int, n: int, length:
 def reconciled(found: list[list], text: str, fixed: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, certainty): the disjoint spans of most weight among those of all windows, clear of the fixed ones."""
     joined: list[list] = []
+    whole = {k: sorted((s[0], s[1]) for s in found if s[2] == k and not s[4] and not s[5]) for k in range(len(KINDS))}
     for s in sorted(found):
-        for o in joined[-3:]:
-            if o[2] == s[2] and s[0] < o[1] and (s[4] or o[5]):
-                o[3], o[5] = min(o[3], s[3]), s[5] if s[1] >= o[1] else o[5]
-                o[1] = max(o[1], s[1])
-                break
-        else:
-            joined.append(s)
+        if s[4] or s[5]:  # a window has it whole, or it goes on in the next one's
+            k = bisect_left(whole[s[2]], (s[1],))
+            if any(a < s[1] and s[0] < z for a, z in whole[s[2]][max(0, k - 3) : k]):
+                continue
+            last = next((o for o in reversed(joined[-3:]) if o[2] == s[2] and o[5] and s[0] < o[1]), None)
+            if last:
+                last[1], last[3], last[5] = max(last[1], s[1]), min(last[3], s[3]), s[5] if s[1] >= last[1] else last[5]
+                continue
+        joined.append(s)
     able, edges = {}, np.array(sorted((z, a) for a, _, z in fixed), np.int64).reshape(-1, 2)
     for a, z, kind, sure, *_ in joined:
         piece = text[a:z]
