@@ -326,7 +326,7 @@ def windows_for(sample: list[tuple[str, list[tuple[int, int, int]]]], count: int
             place, kind, end = spans[j]
             near = spans
             middle = [(varied(kind, text[place:end], rng), kind)]
-            if rng.random() < 0.3:
+            if rng.random() < 0.4:
                 o, k = at[int(rng.integers(len(at)))]
                 s, other, e = sample[o][1][k]
                 middle += [(str(rng.choice([" ", " ", ", ", "; ", " / "])), -1), (varied(other, sample[o][0][s:e], rng), other)]
@@ -497,5 +497,5 @@ def personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_email, n_ip, n_card, n_phone (the patterns'), base_sha256, spans (all, kind:start:end), n_added."""
     found = tagged(docs, train(docs, None, id_col, text_col), id_col, text_col)
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long) as n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
