@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.registry import query
+from tessera.registry import plain, query
+from tessera.sources.files import fresh_folder
+from tessera.streaming.live import PERIODS, presence_stream
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -37,3 +39,23 @@ query("agg_online", _WALK + "select count(*) as online from (select user_id, max
 query("st_session_ttl", """with g as (select user_id, ts, case when lag(ts) over (partition by user_id order by ts) + interval 6 hours > ts then 0 else 1 end as fresh from events),
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) as k from g)
 select user_id, min(ts) as started, max(ts) + interval 6 hours as ended, count(*) as n from s group by user_id, k""")(lambda t: sessions(t.events, "6 hours"))
+
+
+def _streamed(t) -> DataFrame:
+    """Ends of the times online that the last watermark has passed, from the state machine run over the log as a stream."""
+    folder = fresh_folder(t.spark, "presence")
+    log = t.presence_events
+    log.write.parquet(f"{folder}/in")
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
+    stream = presence_stream(t.spark.readStream.schema(log.schema).parquet(f"{folder}/in"), "10 seconds")
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    passed = t.spark.read.parquet(f"{folder}/in").agg((F.max("at_ms") - 10_000).alias("passed"))
+    rows = t.spark.read.schema(stream.schema).parquet(f"{folder}/out").where("change = 'OFFLINE'").join(F.broadcast(passed), F.col("at_ms") <= F.col("passed"))
+    return rows.select("user_id", F.col("at_ms").alias("ended_ms"), F.col("action").alias("cause"), "status", "room_id", "role")
+
+
+_PERIODS = PERIODS.replace("{log}", "presence_events")
+plain("st_presence_periods", _PERIODS)
+query("st_presence_stream", f"select user_id, ended_ms, cause, status, room_id, role from ({_PERIODS}) x where ended_ms <= (select max(at_ms) - 10000 from presence_events)")(_streamed)

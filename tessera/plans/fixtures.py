@@ -77,6 +77,13 @@ from (select event_id, event_type, cast(floor(event_id / 300) as bigint) as room
     1718029381000 + event_id * 4000 + event_id * 7919 % 3000 as at_ms,
     case event_id % 15 when 0 then 'create' when 1 then 'join' when 2 then 'ready' when 3 then 'ready' when 9 then 'offer_draw' when 10 then case cast(floor(event_id / 15) as bigint) % 3 when 0 then 'accept_draw' when 1 then 'decline_draw' else 'resign' end
       when 8 then 'drop' when 11 then 'watch' when 12 then 'switch' when 13 then 'leave' when 14 then case when event_id % 4 = 0 then 'delete' else 'leave' end else 'move' end as action from events) x""",
+    "presence_events": """
+select user_id, event_id, 1718029381000 + event_id * 7919 % 1000 * 600 as at_ms, concat('s', cast(event_id * 31 % 3 as string)) as session_id,
+  case event_id % 8 when 0 then 'connect' when 1 then 'connect' when 5 then 'disconnect' when 6 then 'status' else 'heartbeat' end as action,
+  case when event_id % 8 = 6 then case cast(floor(event_id / 8) as bigint) % 3 when 0 then 'IN_ROOM' when 1 then 'PLAYING' else 'ONLINE' end end as status,
+  case when event_id % 8 = 6 and event_id % 5 <> 0 then event_id % 40 end as room_id, case when event_id % 7 = 0 then null when event_id % 2 = 0 then 'white' else 'black' end as role,
+  5000 + event_id * 37 % 40000 as grace_ms
+from events""",
     "presence_log": "select user_id, ts, case when event_type in ('view', 'click') then 1 else -1 end as step, event_type, event_id from events",
 }
 
