@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions.text import cosine, dot
+from tessera.operators.vectors import fit_centroids, into_lists, search, search_lists
 from tessera.registry import plain, query
-
-#: Questions, about, that a search holds in memory on every task at once.
-MOST_QUERIES = 10_000
-
+from tessera.sources.files import fresh_folder
 
 def top_k(chunks: DataFrame, question: DataFrame, k: int = 4) -> DataFrame:
     """The k nearest chunks by cosine to the vector of a one-row table, exactly: a partial top k in every task."""
@@ -42,22 +39,6 @@ def embed(rows: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFr
     return counts.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: at(k).cast("float")).alias("embedding"))
 
 
-def top_k_batch(chunks: DataFrame, questions: DataFrame, k: int = 4, most: int = MOST_QUERIES) -> DataFrame:
-    """For questions(question_id, vector), the k nearest chunks of each. Questions are dealt by hash into blocks of about `most`, with a
-    pass over the chunks for each; a block goes to every task in one row; a task keeps the best k of its rows for each question before
-    anything is shuffled."""
-    blocks = max(1, -(-questions.count() // most))
-    turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
-
-    def block(number: int) -> DataFrame:
-        held = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == number).agg(F.collect_list(F.struct("question_id", "vector")).alias("asked"))
-        pairs = chunks.join(F.broadcast(held)).select("id", "embedding", F.explode("asked").alias("q"))
-        scored = pairs.select("id", F.col("q.question_id").alias("question_id"), cosine(F.col("embedding"), F.col("q.vector")).alias("score"))
-        return scored.withColumn("rank", turn).where(F.col("rank") <= k)
-
-    return reduce(DataFrame.unionAll, map(block, range(blocks)))
-
-
 def context(chunks: DataFrame, key: str, order: str, text: str) -> Column:
     cells = F.sort_array(F.collect_list(F.struct(order, text)))
     return F.concat_ws("\n\n", F.transform(cells, lambda c: c[text]))
@@ -149,13 +130,26 @@ def tree_images(bodies):
     return bodies.map(image_ids)
 
 
+def _asked(t) -> DataFrame:
+    return t.chunks.where("id % 50 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"))
+
+
+def _from_lists(t) -> DataFrame:
+    """Through an index of all chunks, stored by list."""
+    folder, (centroids, probes) = fresh_folder(t.spark, "lists"), fit_centroids(t.chunks)
+    into_lists(t.chunks, centroids, "id", "embedding").repartition("list").write.partitionBy("list").parquet(folder)
+    index = t.spark.read.schema("id long, vector array<float>, list int").parquet(folder)
+    return search_lists(index, _asked(t), centroids, probes)
+
+
 _COS = "round(list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])), 4)"
 query("topk_vector", f"select c.id, {_COS} as score from chunks c, (select embedding from chunks where id = 0) q order by {_COS} desc, c.id limit 4")(
     lambda t: top_k(t.chunks, t.chunks.where("id = 0").select("embedding")).select("id", F.round("score", 4).alias("score"))
 )
 query("vec_topk_batch", f"select * from (select q.id as question_id, c.id, {_COS} as score, row_number() over (partition by q.id order by list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])) desc, c.id) as rank from chunks c, (select * from chunks where id % 50 = 0) q) where rank <= 4")(
-    lambda t: top_k_batch(t.chunks, t.chunks.where("id % 50 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"))).select("question_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    lambda t: search(t.chunks, _asked(t)).select("question_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 )
+query("vec_topk_lists")(lambda t: _from_lists(t).select("question_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank")))
 query("agg_concat_context", "select session_id, string_agg(content, chr(10) || chr(10) order by seq) as context from chat_messages group by session_id")(lambda t: t.chat_messages.groupBy("session_id").agg(context(t.chat_messages, "session_id", "seq", "content").alias("context")))
 query("agg_concat_history", "select session_id, string_agg(role || ': ' || content, chr(10) order by seq) as history from chat_messages group by session_id")(
     lambda t: t.chat_messages.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), "content").alias("x")))), lambda c: c["x"]), "\n").alias("history"))

@@ -90,12 +90,12 @@ def test_patch_and_ids(spark):
 
 
 def test_more_questions_than_a_block(spark):
-    from tessera.operators.retrieval import top_k_batch
+    from tessera.operators.vectors import search
 
     vectors = [(i, [float((i * 7 + d * 3) % 11 - 5) for d in range(4)]) for i in range(40)]
     chunks = spark.createDataFrame(vectors, "id long, embedding array<float>")
     asked = spark.createDataFrame([*vectors[:20], (3, vectors[3][1])], "question_id long, vector array<float>")
     rows = lambda df: sorted((r.question_id, r.rank, r.id, r.score) for r in df.collect())
-    whole = rows(top_k_batch(chunks, asked))
-    assert len(whole) == 80 and rows(top_k_batch(chunks, asked, most=3)) == whole
-    assert top_k_batch(chunks, asked.limit(0)).count() == 0
+    whole = rows(search(chunks, asked))
+    assert len(whole) == 80 and rows(search(chunks, asked.repartition(3))) == whole
+    assert search(chunks, asked.limit(0)).count() == 0
