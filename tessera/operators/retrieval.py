@@ -51,8 +51,8 @@ def pruned_history(messages: DataFrame, most: int = 6, keep: int = 2) -> DataFra
     return m.withColumn("summarise", (F.col("n") >= most) & (F.col("back") > keep))
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """Markdown cut at headings of level 1 to 3: source, section, heading path, text (headings stay in it).
+def sections(files: DataFrame, headings: bool = False) -> DataFrame:
+    """Markdown cut at headings of level 1 to 3: source, section, heading path, text (headings stay in it), and if asked for h1, h2, h3.
 
     files: (source, text). Lines keep their order within a file; nothing crosses files.
     """
@@ -67,7 +67,7 @@ def sections(files: DataFrame) -> DataFrame:
     out = lines.groupBy("source", "section").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("h3").alias("h3"), F.concat_ws("\n", F.transform(cells, lambda c: c["row"])).alias("text"))
     path = F.concat_ws(" > ", "h1", "h2", "h3")
     prefix = F.when(path != "", F.concat(F.lit("["), path, F.lit("]\n"))).otherwise(F.lit(""))
-    return out.select("source", "section", path.alias("path"), F.concat(prefix, "text").alias("text")).where(F.trim("text") != "")
+    return out.select("source", "section", path.alias("path"), F.concat(prefix, "text").alias("text"), *["h1", "h2", "h3"] * headings).where(F.trim("text") != "")
 
 
 def split_text(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
