@@ -11,6 +11,7 @@ from tessera.operators.retrieval import CHUNKS, chunked, embed, sections, top_k_
 from tessera.registry import plain, query
 from tessera.sources.files import append, fresh_folder, is_seeded, markdown, truncate
 from tessera.streaming.presence import events_stream
+from tessera.streaming.retries import drain, retried, settled
 from tessera.streaming.queues import after_commit, broadcast_to, consume, expired_keys, messages, publish, routed, store, with_dead_letters
 
 
@@ -30,6 +31,24 @@ def _refuse(_: DataFrame, __: int) -> None:
     raise ValueError("refused")
 
 
+def _picky(body: str, attempt: int) -> None:
+    """Refuses errors with an even number always, others once."""
+    kind, number = body.split(" ")
+    if kind == "error" and (int(number) % 2 == 0 or attempt == 1):
+        raise ValueError(f"refused {number}")
+
+
+def _each_tried(t) -> DataFrame:
+    """The events as messages, each handled on its own."""
+    folder = fresh_folder(t.spark, "retries")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    messages = event_queue(t).select(F.col("event_id").alias("message_id"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("body"))
+    ends = retried(messages, _picky, pause=0.2)
+    read = lambda: t.spark.read.schema(ends.schema).parquet(f"{folder}/out")
+    drain(settled(ends, f"{folder}/out", f"{folder}/checkpoint"), read, t.events.count())
+    return read().select(F.col("message_id").alias("event_id"), "outcome", "attempts", "error")
+
+
 def _written(t, rows: DataFrame) -> DataFrame:
     folder = fresh_folder(t.spark, "table")
     append(rows, folder)
@@ -72,6 +91,8 @@ query("source_queue", "select event_id, user_id, event_type from events where ev
 query("sink_dlq", "select event_id, 'refused' as error from events where event_type = 'error'")(
     lambda t: stored(t, "dlq", routed(event_queue(t), "post.error"), lambda to: with_dead_letters(_refuse, to, pause=0.01)).select("event_id", "error")
 )
+query("sink_dlq_messages", """select event_id, case when event_type = 'error' and event_id % 2 = 0 then 'dead' else 'stored' end as outcome,
+  cast(case when event_type <> 'error' then 1 when event_id % 2 = 0 then 3 else 2 end as int) as attempts, case when event_type = 'error' and event_id % 2 = 0 then concat('refused ', event_id) end as error from events""")(lambda t: _each_tried(t))
 query("st_after_commit", "select event_id, concat('saved ', event_type) as message from events")(
     lambda t: stored(t, "commit", event_queue(t), lambda to: after_commit(f"{to}-data", to, lambda b: b.select("event_id", F.concat(F.lit("saved "), "event_type").alias("message")))).select("event_id", "message")
 )
