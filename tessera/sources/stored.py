@@ -89,14 +89,24 @@ class StoredTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.at(version))
 
+    def _parts(self, version: dict, keys: DataFrame) -> set[str]:
+        """Those in which the keys of some rows fall: at most n_parts."""
+        types = {f.name: f.dataType for f in StructType.fromJson(version["schema"])}
+        part = F.pmod(F.xxhash64(*[F.col(k).cast(types[k]) for k in version["key"]]), F.lit(version["n_parts"]))
+        return {str(r[0]) for r in keys.select(part).distinct().collect()}
+
+    def read_for(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of the parts in which these keys fall; other parts are not read."""
+        found = self.at(version)
+        return self._rows(found, self._parts(found, keys))
+
     def commit(self, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None, attempts: int = 5) -> int:
         """The version after change(rows of the touched parts, changes); its result has the table's columns. changes: a row a key."""
         for _ in range(attempts):
             old = self.at()
             if batch is not None and old["batch"] is not None and batch <= old["batch"]:
                 return old["version"]
-            part = F.pmod(F.xxhash64(*[F.col(k).cast(f.dataType) for k in old["key"] for f in StructType.fromJson(old["schema"]) if f.name == k]), F.lit(old["n_parts"]))
-            touched = {str(r[0]) for r in changes.select(part).distinct().collect()}  # at most n_parts
+            touched = self._parts(old, changes)
             made = old | {"version": old["version"] + 1, "batch": old["batch"] if batch is None else batch}
             if touched:
                 new = change(self._rows(old, touched), changes).select(StructType.fromJson(old["schema"]).names)
