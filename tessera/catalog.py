@@ -6,7 +6,7 @@ import importlib
 
 from tessera.registry import ORACLE, QUERIES
 
-MODULES = tuple(f"tessera.operators.{m}" for m in ("forum", "people", "play", "presence", "retrieval", "chunks", "rooms", "feeds", "commands", "commits", "titles"))
+MODULES = tuple(f"tessera.operators.{m}" for m in ("forum", "people", "play", "presence", "retrieval", "chunks", "rooms", "feeds", "commands", "commits", "titles", "trees"))
 
 
 def _load() -> None:
