@@ -448,12 +448,15 @@ def added(net: Network, batch: list[str], fixed: list[list[tuple[int, int, int]]
 def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """In one task, to which a bounded sample comes. spans: doc_id, kind, start, end (code points, end exclusive); None for the patterns' matches."""
     able = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and octet_length(text) <= " + str(TRAIN_BYTES))
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
     if spans is None:
-        sample = able.where(F.col("text").rlike("[0-9@]")).orderBy(*order).limit(TRAIN_DOCS).withColumn("marks", F.lit(None).cast("array<struct<a: long, kind: string, z: long>>"))
+        able = able.where(F.col("text").rlike("[0-9@]")).withColumn("marks", F.lit(None).cast("array<struct<a: long, kind: string, z: long>>"))
     else:
         marks = spans.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_set(F.struct(F.col("start").cast("long").alias("a"), F.col("kind"), F.col("end").cast("long").alias("z"))).alias("marks"))
-        sample = able.join(marks, "doc_id").orderBy(*order).limit(TRAIN_DOCS)
+        able = able.join(marks, "doc_id")
+    hashed = F.xxhash64("doc_id", "text")
+    # about twice as many as are taken, so that one task doesn't get as many rows from every other
+    least = int(min(1.0, 2 * TRAIN_DOCS / max(1, able.count())) * 2**64) - 2**63 - 1
+    sample = able.where(hashed <= F.lit(least)).orderBy(hashed, "doc_id", "text").limit(TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[str, list] = {}
