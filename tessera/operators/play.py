@@ -87,6 +87,8 @@ for _name, _sql in {
     "scan_hash_batch": "select room_id, name, status from rooms where room_id in (1, 4, 9)",
     "scan_hmget": "select host_id, white_id, black_id from rooms where room_id = 4",
     "scan_list": "select seq, message from room_chat where room_id = 2 order by seq",
+    "scan_zset_rank": "select room_id, user_id, joined_at as score, row_number() over (partition by room_id order by joined_at, user_id) - 1 as rank, count(*) over (partition by room_id) as size from spectators",
+    "scan_zset_range": "select room_id, user_id, joined_at from (select room_id, user_id, joined_at, row_number() over (partition by room_id order by joined_at, user_id) - 1 as rank from spectators) x where rank between 2 and 4",
     "scan_zset": "select room_id, created_at_ms from rooms order by created_at_ms desc, room_id desc limit 10",
     "sort_zrev": "select room_id, user_id, joined_at from spectators where room_id = 1 order by joined_at desc, user_id desc limit 10",
     "filt_substring_ci": "select room_id from rooms where contains(lower(name), '#00000000')",
