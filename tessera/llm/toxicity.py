@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Training takes a bounded sample: of labelled documents outside the held-out fifth, at most
-TRAIN_DOCS of either label, the ones with the least hash, each of at most TRAIN_WORDS words. Words
+TRAIN_DOCS of either label, the ones with the least hash, each of at most 6 * TRAIN_WORDS bytes (longer
+ones are left out of the fit; they are scored whole like others). Words
 and word beginnings that stand in toxic documents far oftener than chance allows make the lexicon;
 tokens of toxic documents that match it are the labelled tokens. The field has two tags; a token's
 score is a bias and the weights of its lexicon features, and tags of neighbours have weights too.
@@ -253,7 +254,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """In one task, to which at most 2 * TRAIN_DOCS texts of at most TRAIN_WORDS words come; the driver gets the model alone."""
+    """In one task, to which at most 2 * TRAIN_DOCS texts of at most 6 * TRAIN_WORDS bytes come; the driver gets the model alone."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * TRAIN_DOCS).union(known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * TRAIN_DOCS))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").where(F.octet_length("text") <= 6 * TRAIN_WORDS)
