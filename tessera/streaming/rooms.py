@@ -352,7 +352,9 @@ class RoomProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         room = self._read()
-        yield from (RESULT(*r) for r in list(due(room, key[0], expiredTimerInfo.getExpiryTimeInMs())))
+        # all that the watermark has passed: the clock that a start sets would wait for the next batch
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        yield from (RESULT(*r) for r in list(due(room, key[0], now)))
         self._write(room)
 
     def close(self) -> None:

@@ -74,3 +74,12 @@ def test_live_rooms_are_the_last_rows_of_the_fold(spark, tmp_path):
     for k in {r.room_id for r in seen}:
         mine = sorted((r.place, r.since, r.size) for r in seen if r.room_id == k)
         assert [m[0] for m in mine] == list(range(mine[0][2])) and mine == sorted(mine, key=lambda m: m[1])
+
+
+def test_timers_of_a_silent_room_follow_each_other(spark, tmp_path):
+    act = lambda room, event, at, user, action, role=None: (room, event, 86_400_000 + at, user, action, role, True, False, 1, 0, False, False)
+    rows = [act(1, 1, 0, 1, "create", "white"), act(1, 2, 1, 2, "join", "black"), act(1, 3, 2, 1, "ready"), act(1, 4, 3, 2, "ready"), act(2, 5, 900_000, 9, "create", "white")]
+    spark.createDataFrame(rows, rooms.LOG).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    out = run(spark, rooms.room_stream(source(spark, tmp_path, spark.createDataFrame(rows, rooms.LOG).schema)), tmp_path)
+    ends = out.where("event_id is null").orderBy("at_ms").collect()
+    assert [(r.action, r.at_ms - 86_400_000, r.result, r.reason) for r in ends] == [("start", 3003, None, None), ("timeout", 63_003, "BLACK_WIN", "TIMEOUT")]
