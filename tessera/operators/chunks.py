@@ -103,3 +103,22 @@ def _files(t) -> DataFrame:
 
 query("doc_chunk_sections", _CHUNKS + "select source, cast(position as int) as position, chunk from g")(lambda t: section_chunks(_files(t)).select("source", "position", "chunk"))
 query("doc_metadata_sections", _CHUNKS + "select cast(position as int) as position, struct_pack(source := source, H1 := h1, H2 := h2, H3 := h3) as metadata from g")(lambda t: section_chunks(_files(t)).select("position", "metadata"))
+
+
+def routes(questions: DataFrame) -> DataFrame:
+    """Of questions(id, verdict, documents): the kind that a model's verdict names (system, chess or chitchat; anything else is system),
+    and the steps that answer it. Only system questions are rewritten and looked up; without a document they get no context."""
+    kind = F.lower(F.regexp_replace(F.regexp_replace("verdict", r"^\s+|\s+$", ""), "^['\"]+|['\"]+$", ""))
+    kind = F.when(kind.isin("system", "chess", "chitchat"), kind).otherwise(F.lit("system"))
+    looked = F.array(F.lit("rewrite_question"), F.lit("retrieve"), F.when(F.coalesce("documents", F.lit(0)) > 0, "generate_rag").otherwise("no_context_answer"))
+    steps = F.when(F.col("kind") == "system", looked).when(F.col("kind") == "chess", F.array(F.lit("generate_direct"))).otherwise(F.array(F.lit("generate_chitchat")))
+    return questions.select("id", kind.alias("kind"), "documents").withColumn("steps", F.array_join(steps, " > ")).select("id", "kind", "steps")
+
+
+#: Verdicts as a model may write them; chunks of a label stand for what is found.
+_ASKED = """select session_id * 1000 + seq as id, case (session_id + seq) % 6 when 0 then ' System ' when 1 then '"chess"' when 2 then '''chitchat''' when 3 then 'CHESS' when 4 then 'no idea' else '' end as verdict,
+  n.documents from chat_messages m left join (select label, count(*) as documents from chunks group by label) n on n.label = m.seq + m.session_id % 9 where role = 'user'"""
+query("route_question_branches", f"""with q as ({_ASKED}), k as (select id, documents, case when verdict in ('"chess"', 'CHESS') then 'chess' when verdict = '''chitchat''' then 'chitchat' else 'system' end as kind from q)
+select id, kind, case kind when 'chess' then 'generate_direct' when 'chitchat' then 'generate_chitchat' else concat('rewrite_question > retrieve > ', case when documents is null then 'no_context_answer' else 'generate_rag' end) end as steps from k""")(
+    lambda t: routes(t.sql(_ASKED))
+)
