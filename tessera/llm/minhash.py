@@ -185,7 +185,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     rows = save(signed(docs, width, id_col, text_col), "signed")
-    classes = save(rows.where("whole is not null").groupBy("whole").agg(F.min("uid").alias("rep")), "classes")
+    classes = save(rows.where("whole is not null").groupBy("whole").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("uid")), "uid")
     banded = reps.select(F.col("uid").alias("rep"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
@@ -207,10 +207,12 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str
     if not found.isEmpty():
         roots = save(components(nodes, links.union(found)), "roots")
 
-    of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("root"))
-    rooted = save(rows.join(of_class, "whole", "left").select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("root", "uid").alias("root")), "rooted")
+    of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("root"), "copies")
+    shown, total = ["uid", "doc_id", "text_hash", "n_shingles", "root"], rows.count()
+    worded = spread_join(rows.where("whole is not null"), of_class, ["whole"], "copies", total, "uid")
+    rooted = save(worded.select(shown).unionAll(rows.where("whole is null").withColumn("root", F.col("uid")).select(shown)), "rooted")  # without words a row is its own root
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
-    joined = spread_join(rooted, least, ["root"], "copies", rooted.count(), "uid")
+    joined = spread_join(rooted, least, ["root"], "copies", total, "uid")
     return joined.select("uid", "doc_id", "text_hash", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
