@@ -1,7 +1,8 @@
 """How far each source's words are from those of the other sources of its language, in exact integers.
 
-Texts are read once. A task counts the cells (language, source, term) of about 16 MB of text at a time
+Texts are read once. A task counts the cells (language, source, term) of about 4 MB of text at a time
 by numbers: terms get dictionary numbers, cells are counted by them, and only then leave as strings.
+A longer text is taken apart in such parts, whose counts are added up before it counts as one document.
 Cells are summed and dealt by ranges of (language, term), sorted. So each task sees every cell of its
 terms in UTF-8 order and cuts them into chunks: a chunk has the sorted array of its kept terms, ids
 that searchsorted finds in it, and a dense matrix of counts, a row a source, that bincount fills. Ids
@@ -32,6 +33,8 @@ from tessera.llm.common import save, small_batches
 from tessera.llm.words import byte_table, byte_words, gathered
 
 IN_TERM = byte_table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+#: Bytes of text that a task takes apart at a time; its arrays take some 25 times as much memory.
+GATHERED = 4 << 20
 #: Chunks are dealt to one audit a language for each so many cells of all of them.
 CELLS = AUDITED = 1 << 20
 #: Cells of sorted terms that a task holds before it cuts chunks.
@@ -43,25 +46,62 @@ def or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def parts(text: pa.Buffer, most: int) -> Iterator[pa.Array]:
+    """A text in parts of less than twice `most` bytes, cut behind bytes outside terms; a longer term stays whole."""
+    data, at, seen = np.frombuffer(text, np.uint8), 0, 0
+    while at < len(data):
+        outside = np.flatnonzero(~IN_TERM[data[seen : seen + most]])
+        end = seen + int(outside[-1]) + 1 if len(outside) else 0
+        seen += most
+        if seen >= len(data):
+            end = len(data)
+        if end:
+            yield pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, end - at])), text.slice(at, end - at))
+            at = end
+
+
+def term_counts(text: pa.Buffer, most: int) -> pa.Table:
+    """(term, n) of one long text."""
+    merged = lambda held: pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("n", "sum")]).select(["term", "n_sum"]).rename_columns(["term", "n"])
+    held = []
+    for part in parts(text, most):
+        found = byte_words(part, IN_TERM)[0].value_counts()
+        held.append(pa.table({"term": found.field(0), "n": found.field(1)}))
+        if len(held) > 8:
+            held = [merged(held)]
+    return merged(held)
+
+
 def term_cells(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """(lang, source, term, docs, n): documents with the term and its occurrences, a row a cell."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 
+    def rows(lang: pa.Array, source: pa.Array, term: pa.Array, docs_in: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = [x.cast(pa.string()) for x in (lang, source, term.cast(pa.large_string()))]
+        yield from pa.table([*names, pa.array(docs_in.astype(np.int64)), pa.array(n.astype(np.int64))], schema=schema).to_batches(1 << 16)
+
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in gathered(batches, 2):
-            flat, owner, _, _ = byte_words(b.column(2), IN_TERM)
+        for b in gathered(batches, 2, GATHERED):
+            long = np.asarray(pc.fill_null(pc.binary_length(b.column(2)), 0)) > GATHERED
+            for i in np.flatnonzero(long).tolist():
+                found = term_counts(b.column(2)[i].as_buffer(), GATHERED)
+                same = pa.array(np.full(len(found), i))
+                yield from rows(b.column(0).take(same), b.column(1).take(same), found.column("term").combine_chunks(), np.ones(len(found)), np.asarray(found.column("n")))
+            if long.any():
+                b = b.filter(pa.array(~long))
+            flat, owner = byte_words(b.column(2), IN_TERM)[:2]
             if not len(flat):
                 continue
             coded = flat.dictionary_encode()
             d = max(1, len(coded.dictionary))
             pairs, n = np.unique(owner * d + np.asarray(coded.indices, np.int64), return_counts=True)  # (document, term)
+            del flat, owner
             lang, source = b.column(0).dictionary_encode(), b.column(1).dictionary_encode()
             group = np.asarray(lang.indices, np.int64) * len(source.dictionary) + np.asarray(source.indices, np.int64)
             cells, at, docs_in = np.unique(group[pairs // d] * d + pairs % d, return_inverse=True, return_counts=True)
-            total = np.bincount(at, n).astype(np.int64)
+            total = np.bincount(at, n)
             group, term = cells // d, cells % d
-            names = [lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))), coded.dictionary.cast(pa.large_string()).take(pa.array(term))]
-            yield from pa.table([*[x.cast(pa.string()) for x in names], pa.array(docs_in.astype(np.int64)), pa.array(total)], schema=schema).to_batches(1 << 16)
+            yield from rows(lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))), coded.dictionary.take(pa.array(term)), docs_in, total)
 
     found = docs.select(or_empty(lang_col), or_empty(source_col), F.col(text_col).cast("string")).mapInArrow(run, "lang string, source string, term string, docs long, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import divergence as dv
@@ -68,6 +69,35 @@ def test_a_text_of_millions_of_characters_and_many_terms(spark):
     assert [r[4] for r in rows if r[2] == "pair"] == [0] * 6  # three equal sources
 
 
+def test_tasks_take_texts_apart_in_small_parts(spark, monkeypatch):
+    whole = dv.byte_words
+
+    def watched(column, inside):
+        assert column.nbytes < 9 << 20  # the arrays for 16 MB took some 400 MB in each worker
+        return whole(column, inside)
+
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    long = " ".join(f"É{i % 30_000:x}z" for i in range(1_600_000)).translate(letters)  # 10 to 20 MB, alone in its task
+    rows = [(long, "en", "a"), (long[: len(long) // 3], "en", "b"), ("common é ézz", "en", "b"), (long[-5000:], "en", None)]
+    rows += [(" ".join(f"{s}{i:x}z" for i in range(90_000)).translate(letters), "fr", s) for s in "abcb" * 8]  # 20 MB and more in one task
+    monkeypatch.setattr(dv, "byte_words", watched)
+    check(spark, spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1))
+    assert max(p.nbytes for p in dv.parts(pa.py_buffer(long.encode()), dv.GATHERED)) < 9 << 20
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 64])
+def test_texts_longer_than_a_part(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(dv, "GATHERED", most)
+    check(spark, odd.unionAll(odd))
+    text = "Éa bb,a\x7fÉA " + "long" * 50 + " 😀bb\xa0 a  bb"
+    for t in ("", "a", " ", ". .", text, text + ".", "é" * 100):
+        cut = list(dv.parts(pa.py_buffer(t.encode()), most))
+        assert "".join(p[0].as_py() for p in cut) == t and all(len(p[0].as_py()) for p in cut)
+        assert [w for p in cut for w in dv.byte_words(p, dv.IN_TERM)[0].to_pylist()] == dv.byte_words(pa.array([t]), dv.IN_TERM)[0].to_pylist()
+    docs = spark.createDataFrame([(text * n, lang, s) for n in (1, 2, 3) for lang in ("x", None) for s in ("b", "é", None)], "text string, lang string, source string")
+    check(spark, docs)
+
+
 @pytest.mark.parametrize("total", [1, 7, 10**9 + 7, 9 * 10**15])
 def test_shares_are_exact(total):
     rng = np.random.default_rng(0)
