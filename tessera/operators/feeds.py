@@ -125,7 +125,7 @@ query("doc_metadata", CHUNKS + "select struct_pack(source := concat(id, '.md'),
 query("vec_embed", """with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')) as word from documents),
 c as (select doc_id, cast(concat('0x', substr(md5(word), 1, 8)) as bigint) % 64 as cell, count(*) as n from w group by all), v as (select doc_id, sqrt(sum(n * n)) as norm from c group by doc_id)
 select d.doc_id, (select list(round(coalesce((select max(c.n) from c where c.doc_id = d.doc_id and c.cell = k.k), 0) / coalesce(v.norm, 1), 3) order by k.k) from (select unnest(range(64)) as k) k) as embedding from documents d left join v on v.doc_id = d.doc_id""")(
-    lambda t: embed(t.documents, "doc_id", "text").select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("embedding"))
+    lambda t: embed(t.documents, "doc_id", "text", kind="double").select("doc_id", F.transform("embedding", lambda x: F.floor(x * 1000 + 0.5) / 1000).alias("embedding"))  # halves as SQL's round() takes them
 )
 _L2 = "round(list_distance(cast(c.embedding as double[]), cast(q.embedding as double[])), 4)"
 query("vec_topk", f"select c.id, {_L2} as distance from chunks c, (select embedding from chunks where id = 0) q order by {_L2}, c.id limit 4")(

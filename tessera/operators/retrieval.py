@@ -27,16 +27,16 @@ def top_k_l2(chunks: DataFrame, question: DataFrame, k: int = 4) -> DataFrame:
     return chunks.join(F.broadcast(asked)).withColumn("distance", F.sqrt(dot(apart, apart))).drop("asked").orderBy("distance", "id").limit(k)
 
 
-def embed(rows: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
-    """id and embedding: a vector of length 1 from hashed lower-case words, without a trained model; zeros without words. Ids are
-    distinct. Words are counted by cell before anything is shuffled."""
+def embed(rows: DataFrame, id_col: str, text_col: str, size: int = 64, kind: str = "float") -> DataFrame:
+    """id and embedding: a vector of length 1 of numbers of that kind from hashed lower-case words, without a trained model; zeros
+    without words. Ids are distinct. Words are counted by cell before anything is shuffled."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cell = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % size
     cells = rows.select(id_col, F.explode_outer(words).alias("word")).groupBy(id_col, cell.cast("int").alias("cell")).agg(F.count("word").alias("n"))
     counts = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("counts"))  # at most `size` entries
     norm = F.sqrt(F.aggregate(F.map_values("counts"), F.lit(0.0), lambda s, n: s + n * n))
     at = lambda k: F.coalesce(F.try_element_at("counts", k), F.lit(0)) / F.greatest(norm, F.lit(1.0))
-    return counts.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: at(k).cast("float")).alias("embedding"))
+    return counts.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: at(k).cast(kind)).alias("embedding"))
 
 
 def context(chunks: DataFrame, key: str, order: str, text: str) -> Column:

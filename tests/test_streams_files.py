@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions.text import uuid7
 from tessera.operators.people import patch
 from tessera.operators.presence import sessions
@@ -50,6 +52,18 @@ def test_embed(spark):
     assert [rows[0][0], rows[1][0]] == [[0.0] * 16] * 2 and rows[2][0] == pytest.approx([x / norm for x in want])
 
 
+def test_embeddings_at_halves_are_rounded_as_in_sql(spark, tmp_path):
+    """Lengths of 80 and 400: 7 / 80 and 9 / 80 lie below their halves as floats, 201 / 400 times 1000 does as a double."""
+    words = {int(hashlib.md5(f"w{i}".encode()).hexdigest()[:8], 16) % 64: f"w{i}" for i in range(200)}
+    texts = [" ".join(w for w, n in zip(words.values(), counts) for _ in range(n)) for counts in ((79, 9, 7, 5, 2), (345, 201, 23, 6, 3))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {i: list(v) for i, v in con.execute(catalog.oracle_sql()["vec_embed"]).fetchall()}
+    assert {0.113, 0.088} < set(want[0]) and 0.502 in want[1]
+    assert {r.doc_id: r.embedding for r in catalog.queries()["vec_embed"](spark, str(tmp_path)).collect()} == want
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs/sub").mkdir(parents=True)
     (tmp_path / "docs/sub/a.md").write_text("# A\ntext1\n## B\ntext2\n### C\ntext3\n## D\ntext4")
