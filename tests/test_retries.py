@@ -45,3 +45,25 @@ def test_attempts_outlive_a_restart(spark, tmp_path):
     q, read = run(spark, tmp_path, pause=0.2)
     drain(q, read, 3)
     assert sorted((r.message_id, r.outcome, r.attempts) for r in read().collect()) == [(1, "dead", 3), (2, "stored", 1), (3, "stored", 1)]
+
+
+def test_long_batches_are_waited_for(spark, tmp_path):
+    """The first batch takes longer than the limit, one message has no id, one is sent twice: all others meet their end."""
+
+    def slow(body, attempt):
+        import time
+
+        time.sleep(0.3)
+        if body == "late" and attempt < 2:
+            raise ValueError("no")
+
+    put(spark, tmp_path, "a", [(i, "late" if i % 10 == 3 else "good") for i in range(60)] + [(None, "good"), (3, "late")])
+    source = spark.readStream.schema("message_id long, body string").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    ends = retried(source, slow, pause=0.2)
+    drain(settled(ends, f"{tmp_path}/out", f"{tmp_path}/ck"), lambda: spark.read.schema(ends.schema).parquet(f"{tmp_path}/out"), limit=1.0)
+    rows = spark.read.schema(ends.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.message_id, r.outcome, r.attempts) for r in rows) == [(i, "stored", 2 if i % 10 == 3 else 1) for i in range(60)]
+    put(spark, tmp_path, "b", [(100, "good")])
+    q = settled(ends, f"{tmp_path}/out", f"{tmp_path}/ck")
+    with pytest.raises(TimeoutError):
+        drain(q, lambda: spark.read.schema(ends.schema).parquet(f"{tmp_path}/out"), 62, limit=1.0)  # there are 61
