@@ -277,12 +277,16 @@ query("dml_insert", "select id, title, is_read, created_at from notifications un
 
 def guest_names(guests: DataFrame, taken: DataFrame, attempts: int = 5, seed: str = "") -> DataFrame:
     """id, name: `guest_` and 8 characters drawn from the id, the attempt and `seed`, of the first attempt whose name neither stands
-    in taken(name) nor goes to a guest with a smaller id in the same attempt; null if none does."""
-    tries = guests.select("id", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
-    drawn = F.concat(F.lit("guest_"), F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("attempt").cast("string"))), 1, 8))
-    tries = tries.withColumn("name", drawn).join(taken.select("name").distinct(), "name", "left_anti")
-    tries = tries.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy("attempt", "id"))).where("turn = 1")
-    return guests.select("id").join(tries.groupBy("id").agg(F.min_by("name", "attempt").alias("name")), "id", "left")
+    in taken(name), nor went to a guest in an earlier attempt, nor goes to one with a smaller id in the same; null if none does. Guests
+    with a name draw no more."""
+    named = guests.select("id", F.lit(None).cast("string").alias("name")).where("id is not null").distinct()
+    named = named.unionByName(taken.select(F.lit(None).cast(guests.schema["id"].dataType).alias("id"), "name").where("name is not null").distinct())
+    for attempt in range(1, attempts + 1):
+        drawn = F.concat(F.lit("guest_"), F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.lit(str(attempt)))), 1, 8))
+        asked = named.withColumn("asked", F.coalesce("name", drawn))
+        turn = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("name").isNull(), "id"))  # who has the name comes first
+        named = asked.withColumn("turn", turn).select("id", F.when(F.col("turn") == 1, F.col("asked")).otherwise(F.col("name")).alias("name"))
+    return guests.select("id").join(named.where("id is not null"), "id", "left")
 
 
 _TAKEN = "select concat('guest_', substr(md5(concat('s:', cast(id as string), ':1')), 1, 8)) as name from users where id % 20 = 0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -100,6 +102,17 @@ def test_guest_names_are_unique(spark):
     assert names == {r.id: r.name for r in c.guest_names(guests, taken).collect()}
 
 
+def test_guests_with_a_name_draw_no_more(spark):
+    """39780 and 852650 draw the same second name; 39780 has its first, 852650 doesn't."""
+    name = lambda i, attempt: "guest_" + hashlib.md5(f"s:{i}:{attempt}".encode()).hexdigest()[:8]
+    assert name(39780, 2) == name(852650, 2)
+    guests = spark.createDataFrame([(39780,), (852650,)], "id long")
+    taken = spark.createDataFrame([(name(852650, 1),), (None,)], "name string")
+    assert rows(c.guest_names(guests, taken, seed="s")) == [(39780, name(39780, 1)), (852650, name(852650, 2))]
+    taken = spark.createDataFrame([(name(852650, 1),), (name(39780, 1),)], "name string")  # now both ask for it
+    assert rows(c.guest_names(guests, taken, seed="s")) == [(39780, name(39780, 2)), (852650, name(852650, 3))]
+
+
 def test_inserts_fill_defaults(spark):
     old = spark.createDataFrame([(5, "x")], "id long, title string").selectExpr("id", "title", "timestamp_ntz '2020-01-01' as created_at")
     new = spark.createDataFrame([("b",), ("a",)], "title string")
