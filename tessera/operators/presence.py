@@ -48,7 +48,7 @@ def _streamed(t) -> DataFrame:
     log.write.parquet(f"{folder}/in")
     rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
-    stream = presence_stream(t.spark.readStream.schema(log.schema).parquet(f"{folder}/in"), "10 seconds")
+    stream = presence_stream(t.spark.readStream.schema(log.schema).parquet(f"{folder}/in"), "10 seconds", changes=True)
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     passed = t.spark.read.parquet(f"{folder}/in").agg((F.max("at_ms") - 10_000).alias("passed"))

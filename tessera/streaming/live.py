@@ -9,8 +9,10 @@ runs out comes before what a user does.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,92 +26,112 @@ COLUMNS = [c.split()[0] for c in LOG.split(", ")]
 OUT = "user_id long, event_id long, at_ms long, at timestamp, session_id string, action string, code int, change string, status string, room_id long, role string"
 RESULT = Row(*(c.split()[0] for c in OUT.split(", ")))
 HELD = "status string, room_id long, role string, grace_ms long, until long"
+KEPT = f"{HELD}, sessions map<string, long>, timer long"
 
 
 class PresenceProcessor(StatefulProcessor):
     """A row for each row of the log, code 1 if it took effect, and one, action `expire`, for each session that runs out. change: ONLINE
-    or OFFLINE where the first session comes or the last goes; status, room_id, role: as held then (OFFLINE: as held before)."""
+    or OFFLINE where the first session comes or the last goes; status, room_id, role: as held then (OFFLINE: as held before). With
+    `changes`, only rows that have a change.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sessions = handle.getMapState("sessions", "session_id string", "ends long")
-        self.held = handle.getValueState("held", HELD)
-
-    def _ends(self) -> list[tuple[int, str]]:
-        return sorted((v[0], k[0]) for k, v in self.sessions.iterator())
-
-    def _until(self) -> int | None:
-        return self.held.get()[4] if self.held.exists() else None
+    What is known of a user is one value of the state store, read and written once for all of the user's rows of a batch; rows come as
+    (user_id, at, row), the rest of the log's columns in JSON, as each column costs more to hand over than to parse."""
 
-    def _row(self, user: int, event: int | None, at: int, session: str | None, action: str, code: int, change: str | None = None) -> Row:
-        held = self.held.get() if self.held.exists() else (None, None, None)
-        return RESULT(user, event, at, datetime.fromtimestamp(at / 1000, UTC), session, action, code, change, held[0], held[1], held[2])
+    def __init__(self, changes: bool = False) -> None:
+        self.changes = changes
 
-    def _close(self, user: int, event: int | None, at: int, session: str, action: str) -> Row:
-        self.sessions.removeKey((session,))
-        if next(iter(self.sessions.keys()), None) is not None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", KEPT)
+
+    def _load(self) -> None:
+        self.before = self.kept.get()
+        *held, sessions, self.timer = self.before or (*[None] * 5, {}, None)
+        self.held = tuple(held) if held[0] is not None else None
+        self.sessions = dict(sessions)
+
+    def _store(self, expired: int | None = None) -> None:
+        """Keeps what is known, and one timer for what runs out first; Spark itself deletes the timer that has `expired`."""
+        until = self.held[4] if self.held else None
+        timer = min([*self.sessions.values(), *[until] * (until is not None)], default=None)
+        if timer != self.timer:
+            if self.timer not in (None, expired):
+                self.handle.deleteTimer(self.timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if self.held or self.sessions:
+            after = (*(self.held or [None] * 5), self.sessions, timer)
+            if after != self.before:
+                self.kept.update(after)
+        elif self.before:
+            self.kept.clear()
+
+    def _row(self, user: int, event: int | None, at: int, session: str | None, action: str, code: int, change: str | None = None) -> list[Row]:
+        if self.changes and change is None:
+            return []
+        held = self.held or (None, None, None)
+        return [RESULT(user, event, at, datetime.fromtimestamp(at / 1000, UTC), session, action, code, change, held[0], held[1], held[2])]
+
+    def _close(self, user: int, event: int | None, at: int, session: str, action: str) -> list[Row]:
+        del self.sessions[session]
+        if self.sessions:
             return self._row(user, event, at, session, action, 1)
         out = self._row(user, event, at, session, action, 1, "OFFLINE")
-        status, room, role, grace, _ = self.held.get()
+        status, room, role, grace, _ = self.held
         if status == "PLAYING" and room is not None and role is not None and (grace or 0) > 0:
-            self.held.update((status, room, role, grace, at + grace))
+            self.held = (status, room, role, grace, at + grace)
         else:
-            self.held.clear()
+            self.held = None
         return out
 
     def _due(self, user: int, now: int) -> Iterator[Row]:
-        for ends, session in self._ends():
-            if ends <= now:
-                yield self._close(user, None, ends, session, "expire")
-        until = self._until()
-        if until is not None and until <= now:
-            self.held.clear()
-
-    def _apply(self, e: Row) -> Row:
-        opened = self.sessions.containsKey((e.session_id,)) if e.session_id is not None else False
-        if e.action == "connect" and e.session_id is not None:
-            first = next(iter(self.sessions.keys()), None) is None
-            self.sessions.updateValue((e.session_id,), (e.at_ms + TTL_MS,))
+        if self.sessions and min(self.sessions.values()) <= now:
+            for ends, session in sorted((ends, session) for session, ends in self.sessions.items() if ends <= now):
+                yield from self._close(user, None, ends, session, "expire")
+        if self.held and self.held[4] is not None and self.held[4] <= now:
+            self.held = None
+
+    def _apply(self, user: int, event: int, at: int, session: str | None, action: str, status: str | None, room: int | None, role: str | None, grace: int | None) -> list[Row]:
+        if action == "connect" and session is not None:
+            first = not self.sessions
+            self.sessions[session] = at + TTL_MS
             if first:
-                held = self.held.get() if self.held.exists() else ("ONLINE", None, None, None, None)
-                self.held.update((*held[:4], None))
-            return self._row(e.user_id, e.event_id, e.at_ms, e.session_id, e.action, int(first), "ONLINE" if first else None)
-        if e.action == "heartbeat" and opened:
-            self.sessions.updateValue((e.session_id,), (e.at_ms + TTL_MS,))
-        elif e.action == "disconnect" and opened:
-            return self._close(e.user_id, e.event_id, e.at_ms, e.session_id, e.action)
-        elif e.action == "status" and e.status is not None and next(iter(self.sessions.keys()), None) is not None:
-            self.held.update((e.status, e.room_id, e.role, e.grace_ms, None))
+                self.held = (*(self.held or ("ONLINE", None, None, None))[:4], None)
+            return self._row(user, event, at, session, action, int(first), "ONLINE" if first else None)
+        if action == "heartbeat" and session in self.sessions:
+            self.sessions[session] = at + TTL_MS
+        elif action == "disconnect" and session in self.sessions:
+            return self._close(user, event, at, session, action)
+        elif action == "status" and status is not None and self.sessions:
+            self.held = (status, room, role, grace, None)
         else:
-            return self._row(e.user_id, e.event_id, e.at_ms, e.session_id, e.action, 0)
-        return self._row(e.user_id, e.event_id, e.at_ms, e.session_id, e.action, 1)
-
-    def _wake(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        times = [e for e, _ in self._ends()[:1]] + ([u] if (u := self._until()) is not None else [])
-        if times:
-            self.handle.registerTimer(min(times))
+            return self._row(user, event, at, session, action, 0)
+        return self._row(user, event, at, session, action, 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for e in sorted(rows, key=lambda e: (e.at_ms, e.event_id)):
-            yield from list(self._due(key[0], e.at_ms))
-            yield self._apply(e)
-        self._wake()
+        self._load()
+        for e in sorted((tuple(map(json.loads(e.row).get, COLUMNS[1:])) for e in rows), key=itemgetter(1, 0)):
+            yield from self._due(key[0], e[1])
+            yield from self._apply(key[0], *e)
+        self._store()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # all that the watermark has passed: a timer set here would wait for the next batch
-        yield from list(self._due(key[0], max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())))
-        self._wake()
+        self._load()
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._due(key[0], max(expired, timerValues.getCurrentWatermarkInMs()))
+        self._store(expired)
 
     def close(self) -> None:
         pass
 
 
-def presence_stream(log: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Presence of a streamed log; rows `late` or more behind are dropped, rows without a user or time are left out. Needs the RocksDB state store."""
-    timed = log.select(COLUMNS).where("user_id is not null and at_ms is not null and event_id is not null").withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
-    return timed.groupBy("user_id").transformWithState(PresenceProcessor(), OUT, "Append", "EventTime", eventTimeColumnName="at")
+def presence_stream(log: DataFrame, late: str = "10 seconds", changes: bool = False) -> DataFrame:
+    """Presence of a streamed log, or only its changes; rows `late` or more behind are dropped, rows without a user or time are left out.
+    Needs the RocksDB state store."""
+    known = log.select(COLUMNS).where("user_id is not null and at_ms is not null and event_id is not null")
+    timed = known.select("user_id", F.timestamp_millis("at_ms").alias("at"), F.to_json(F.struct(COLUMNS[1:])).alias("row")).withWatermark("at", late)
+    return timed.groupBy("user_id").transformWithState(PresenceProcessor(changes), OUT, "Append", "EventTime", eventTimeColumnName="at")
 
 
 def disconnects(presence: DataFrame) -> DataFrame:
@@ -124,7 +146,7 @@ def rooms_with_presence(room_log: DataFrame, presence_log: DataFrame, late: str
     """Room results where users who go offline in a room leave it: two stateful operators in one query, the rooms reading what presence
     gives out. Refused leaves of that kind are passed over; others have the reason DISCONNECT."""
     timed = room_log.select(rooms.COLUMNS).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
-    both = timed.unionByName(disconnects(presence_stream(presence_log, late)))
+    both = timed.unionByName(disconnects(presence_stream(presence_log, late, changes=True)))
     out = both.groupBy("room_id").transformWithState(rooms.RoomProcessor(), rooms.OUT, "Append", "EventTime")
     lapsed = F.expr("action = 'leave' and event_id < 0")
     return out.where(~lapsed | (F.col("code") > 0)).withColumn("reason", F.when(lapsed, F.lit("DISCONNECT")).otherwise(F.col("reason")))

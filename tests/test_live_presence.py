@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.streaming import live, rooms
@@ -100,3 +102,45 @@ def test_a_lapsed_session_leaves_the_room(spark, tmp_path):
         (7, 1000, 1, "create", 1, "ROOM_CREATED", None, 1), (7, 2000, 2, "join", 1, "JOINED", None, 1), (8, 3000, 5, "create", 1, "ROOM_CREATED", None, 5),
         (7, 30_500, 1, "leave", 1, "HOST_TRANSFERRED", "DISCONNECT", 2), (7, 50_000, 2, "leave", 1, "ROOM_EMPTY", "DISCONNECT", None),
     ]
+
+
+class Counted:
+    """A state store of one user in memory that counts calls: a value, a map and timers."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            elif name in ("updateValue", "removeKey"):
+                self.map.pop(args[0], None) if name == "removeKey" else self.map.update([args])
+            elif name in ("registerTimer", "deleteTimer"):
+                self.timers ^= {args[0]}
+            return {"get": self.value, "exists": self.value is not None, "keys": iter(list(self.map)), "iterator": iter(list(self.map.items())), "containsKey": name == "containsKey" and args[0] in self.map, "listTimers": iter(self.timers)}.get(name)
+
+        return call
+
+
+def test_state_is_read_and_written_once_for_all_rows_of_a_user():
+    log = [beat(0, 0, 1, "a", "connect"), *(beat(n, n * 1000, 1, "a", "heartbeat") if n % 3 else beat(n, n * 1000, 1, "a", "status", "IN_ROOM", n, "white") for n in range(1, 400))]
+    rows = [Row(**e, row=json.dumps(e)) for e in (dict(zip(live.COLUMNS, e)) for e in log)]
+    state, p = Counted(), live.PresenceProcessor()
+    p.init(state)
+    out = list(p.handleInputRows((1,), iter(rows[::-1]), None))
+    assert [(r.event_id, r.code) for r in out] == [(n, 1) for n in range(400)] and out[-1].room_id == 399
+    assert state.timers == {START + 398_000 + live.TTL_MS} and state.calls < 10
+
+
+def test_only_changes(spark, tmp_path):
+    rows = [beat(1, 0, 1, "a", "connect"), beat(2, 5000, 1, "a", "status", "PLAYING", (1 << 60) + 1, 'wh"ite', 9000), beat(3, 6000, 1, "b", "connect"), beat(4, 7000, 1, "a", "disconnect"), beat(5, 20_000, 1, "b", "heartbeat"), beat(6, 400_000, 2, "z", "connect")]
+    _, stream = files(spark, rows, live.LOG, f"{tmp_path}/in", [6500, 100_000])
+    out = run(spark, live.presence_stream(stream, changes=True), tmp_path).where("user_id = 1").orderBy("at_ms").collect()
+    assert [(r.at_ms - START, r.action, r.change, r.status, r.room_id, r.role) for r in out] == [(0, "connect", "ONLINE", "ONLINE", None, None), (50_000, "expire", "OFFLINE", "PLAYING", (1 << 60) + 1, 'wh"ite')]
